@@ -72,9 +72,12 @@ def powers(n: int, base: np.uint64 = BASE, inverse: np.uint64 = BASE_INV) -> tup
 
 
 class Words:
-    """The words of some documents: starts and ends in the bytes, hashes, and offsets (words before each document)."""
+    """The words of some documents: starts and ends in the bytes, hashes, and offsets (words before each document).
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = PLAIN_WORD):
+    prefixes: for each of these numbers of bytes, a row of `begins` with the hashes of the words' beginnings (a shorter word's own hash).
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = PLAIN_WORD, prefixes: tuple[int, ...] = ()):
         low = LOWER[data]
         inside = is_word[low]
         before = np.empty(len(low) + 1, bool)
@@ -89,6 +92,7 @@ class Words:
         self.ends = np.flatnonzero(inside & ~after[1:]) + 1
         self.offsets = np.searchsorted(self.starts, offsets)
         self.hashes = np.empty(len(self.starts), U)
+        self.begins = np.empty((len(prefixes), len(self.starts)), U)
         k = 0
         while k < len(self.starts):  # pieces of whole words, so that the powers stay short
             at = self.starts[k]
@@ -99,6 +103,9 @@ class Words:
             np.cumsum(part * up[: len(part)], out=sums[1:])
             s, e = self.starts[k:m] - at, self.ends[k:m] - at
             self.hashes[k:m] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
+            for row, n in zip(self.begins, prefixes, strict=True):
+                long = e - s > n
+                row[k:m] = np.where(long, mix((sums[np.minimum(s + n, e)] - sums[s]) * down[s] + U(n << 32)), self.hashes[k:m])
             k = m
 
     def docs(self) -> np.ndarray:

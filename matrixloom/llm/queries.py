@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam
+from . import decontam, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +17,15 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {"op5_decontaminate": op5_decontaminate}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; learned without the fifth of the rows that is held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = lambda key: F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), train=lambda key: ~held_out(key))
+    return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
+QUERIES = {"op8_toxicity": op8_toxicity, "op5_decontaminate": op5_decontaminate}
 
 _OP5 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
