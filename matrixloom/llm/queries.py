@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, toxicity
+from . import decontam, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,18 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+#: The rating of a labelled document: 0 junk, 1 good but toxic, 2 good.
+GRADE = "quality * (2 - coalesce(toxic, 0))"
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected grade and the chance that it isn't junk."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.learn(docs, _table(spark, sf_dir, "labels"), grade=F.expr(GRADE))
+    tail = F.element_at("tail", 1)
+    return quality.score(docs, model).select("doc_id", "expected_grade", tail.alias("p_good"), F.try_element_at("tail", F.lit(2)).alias("p_best"), (tail >= quality.KEEP).alias("kept"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; learned without the fifth of the rows that is held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -25,7 +37,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
 
 
-QUERIES = {"op8_toxicity": op8_toxicity, "op5_decontaminate": op5_decontaminate}
+QUERIES = {f.__name__: f for f in (op5_decontaminate, op6_quality, op8_toxicity)}
 
 _OP5 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
