@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality, toxicity
+from . import decontam, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,24 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
 
 
-QUERIES = {f.__name__: f for f in (op5_decontaminate, op6_quality, op8_toxicity)}
+def _joined(spans) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
+
+
+def _digests(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """doc_id, a count for each kind, the digest of the spans of these kinds and all spans as a string."""
+    base = F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    counts = [F.expr(f"size(filter(spans, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in every document."""
+    return _digests(secrets.spans(_table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
+
+
+QUERIES = {f.__name__: f for f in (op5_decontaminate, op6_quality, op8_toxicity, op9_secrets)}
 
 _OP5 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
