@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality, secrets, toxicity
+from . import decontam, embdedup, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(secrets.spans(_table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
 
 
-QUERIES = {f.__name__: f for f in (op5_decontaminate, op6_quality, op8_toxicity, op9_secrets)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding's links and component at a cosine of 0.95."""
+    return embdedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op5_decontaminate, op6_quality, op8_toxicity, op9_secrets, op10_embedding_dedup)}
 
 _OP5 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -69,4 +74,14 @@ SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n
 sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
-ORACLES = {"op5_decontaminate": _OP5}
+_OP10 = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u AS a JOIN u AS b ON a.vec_id <> b.vec_id WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+d AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c ON v.vec_id = c.a LEFT JOIN d ON v.vec_id = d.a
+"""
+
+ORACLES = {"op10_embedding_dedup": _OP10, "op5_decontaminate": _OP5}
