@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embdedup, quality, secrets, toxicity
+from . import decontam, embdedup, quality, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard out of 40, near equal in bytes, and its slot there."""
+    placed = sharding.assign(_table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of each document lie in passages of the benchmark."""
     return decontam.digest(decontam.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
@@ -59,7 +65,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op5_decontaminate, op6_quality, op8_toxicity, op9_secrets, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op5_decontaminate, op6_quality, op8_toxicity, op9_secrets, op10_embedding_dedup)}
 
 _OP5 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
