@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embdedup, quality, secrets, sharding, toxicity
+from . import decontam, embdedup, pii, quality, secrets, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def _digests(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data in every document."""
+    return _digests(pii.spans(_table(spark, sf_dir, "documents")), pii.BASE)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets in every document."""
     return _digests(secrets.spans(_table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
@@ -65,7 +70,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op5_decontaminate, op6_quality, op8_toxicity, op9_secrets, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op5_decontaminate, op6_quality, op7_pii, op8_toxicity, op9_secrets, op10_embedding_dedup)}
 
 _OP5 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
