@@ -48,11 +48,11 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Ranges of documents with at most limit bytes together, or a single document."""
+def pieces(offsets: np.ndarray, limit: int = PIECE, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `most` documents with at most limit bytes together, or a single document."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+        j = min(i + most, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1))
         yield i, j
         i = j
 
@@ -71,42 +71,48 @@ def powers(n: int, base: np.uint64 = BASE, inverse: np.uint64 = BASE_INV) -> tup
     return found
 
 
+def hash_spans(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of spans of bytes (in order, not overlapping), and for each of `prefixes` a row with the hashes of that many first bytes.
+
+    Spans are taken in pieces of about PIECE bytes, so that the tables of powers stay short. A span no longer than the prefix has its own hash there.
+    """
+    hashes = np.empty(len(starts), U)
+    begins = np.empty((len(prefixes), len(starts)), U)
+    k = 0
+    while k < len(starts):
+        at = starts[k]
+        m = max(k + 1, int(np.searchsorted(ends, at + PIECE, "right")))
+        up, down = powers(int(ends[m - 1] - at))
+        part = low[at : ends[m - 1]]
+        sums = np.zeros(len(part) + 1, U)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        s, e = starts[k:m] - at, ends[k:m] - at
+        hashes[k:m] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
+        for row, n in zip(begins, prefixes, strict=True):
+            row[k:m] = np.where(e - s > n, mix((sums[np.minimum(s + n, e)] - sums[s]) * down[s] + U(n << 32)), hashes[k:m])
+        k = m
+    return hashes, begins
+
+
 class Words:
     """The words of some documents: starts and ends in the bytes, hashes, and offsets (words before each document).
 
-    prefixes: for each of these numbers of bytes, a row of `begins` with the hashes of the words' beginnings (a shorter word's own hash).
+    prefixes: for each of these numbers of bytes, a row of `begins` with the hashes of the words' beginnings.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = PLAIN_WORD, prefixes: tuple[int, ...] = ()):
         low = LOWER[data]
         inside = is_word[low]
-        before = np.empty(len(low) + 1, bool)
-        before[0] = False
+        before = np.zeros(len(low) + 1, bool)
         before[1:] = inside
-        cut = offsets[:-1]
-        before[cut] = False
+        before[offsets[:-1]] = False
         self.starts = np.flatnonzero(inside & ~before[:-1])
         after = np.zeros(len(low) + 1, bool)
         after[:-1] = inside
         after[offsets[1:]] = False
         self.ends = np.flatnonzero(inside & ~after[1:]) + 1
         self.offsets = np.searchsorted(self.starts, offsets)
-        self.hashes = np.empty(len(self.starts), U)
-        self.begins = np.empty((len(prefixes), len(self.starts)), U)
-        k = 0
-        while k < len(self.starts):  # pieces of whole words, so that the powers stay short
-            at = self.starts[k]
-            m = max(k + 1, int(np.searchsorted(self.ends, at + PIECE, "right")))
-            up, down = powers(int(self.ends[m - 1] - at))
-            part = low[at : self.ends[m - 1]]
-            sums = np.zeros(len(part) + 1, U)
-            np.cumsum(part * up[: len(part)], out=sums[1:])
-            s, e = self.starts[k:m] - at, self.ends[k:m] - at
-            self.hashes[k:m] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
-            for row, n in zip(self.begins, prefixes, strict=True):
-                long = e - s > n
-                row[k:m] = np.where(long, mix((sums[np.minimum(s + n, e)] - sums[s]) * down[s] + U(n << 32)), self.hashes[k:m])
-            k = m
+        self.hashes, self.begins = hash_spans(low, self.starts, self.ends, prefixes)
 
     def docs(self) -> np.ndarray:
         """Each word's document."""
