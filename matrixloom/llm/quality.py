@@ -29,6 +29,8 @@ WORDS, SIGNS, MARKS = 1024, 256, 256
 DIMS = WORDS + SIGNS + MARKS
 SAMPLE = 8000
 STEPS = 400
+#: Documents whose cells are in memory at a time.
+DOCS = 512
 RIDGE = 1e-3
 KEEP = 0.5
 
@@ -68,7 +70,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     def repeated(of: K.Words, k: int) -> np.ndarray:
         """The share of runs of k that the document has already had."""
         grams, rows = (K.windows(of.hashes, k), of.docs()[: max(len(of.hashes) - k + 1, 0)]) if k > 1 else (of.hashes, of.docs())
-        kinds = np.unique(np.stack([rows.astype(np.uint64), grams]), axis=1)[0].astype(np.int64) if len(grams) else np.empty(0, np.int64)
+        kinds = (np.unique((rows.astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20))) >> np.uint64(44)).astype(np.int64)  # 44 bits tell a document's runs apart
         have = np.bincount(rows, minlength=n)
         return 1 - np.bincount(kinds, minlength=n) / np.maximum(have, 1)
 
@@ -139,7 +141,7 @@ def learn(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id", text: str
     def take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.text_bytes(batch.column(1))
-            for i, j in K.pieces(offsets):
+            for i, j in K.pieces(offsets, most=DOCS):
                 x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([row.tobytes() for row in x], pa.binary()), batch.column(2).slice(i, j - i)], ["key", "x", "grade"])
 
@@ -164,7 +166,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
 
 def _tails(data: np.ndarray, offsets: np.ndarray, model: Model) -> Iterator[tuple[np.ndarray, int, int]]:
-    for i, j in K.pieces(offsets):
+    for i, j in K.pieces(offsets, most=DOCS):
         eta = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).astype(float) @ model.weights
         yield 1 / (1 + np.exp(-np.clip(eta[:, None] - model.thresholds, -50, 50))), i, j
 
