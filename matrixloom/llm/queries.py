@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embdedup, neardup, pii, quality, secrets, sharding, toxicity
+from . import bpe, decontam, embdedup, neardup, pii, quality, secrets, sharding, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that come twice."""
+    done = suffix.deduplicate(_table(spark, sf_dir, "documents"))
+    removed = F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)")
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids and their decoding."""
     done = bpe.encode(_table(spark, sf_dir, "documents"), keep=("doc_id",), decoded=True)
@@ -81,7 +88,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_sharding, op4_bpe, op5_decontaminate, op6_quality, op7_pii, op8_toxicity, op9_secrets, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_sharding, op3_suffix_dedup, op4_bpe, op5_decontaminate, op6_quality, op7_pii, op8_toxicity, op9_secrets, op10_embedding_dedup)}
 
 _OP5 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

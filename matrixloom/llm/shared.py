@@ -29,8 +29,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def only_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key may be in ids (one column): all that are, and a few others.
+def only_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", others: bool = False) -> DataFrame:
+    """The rows of docs whose key may be in ids (one column): all that are, and a few others. With others=True, all rows but these.
 
     A bitmap of CELLS bits, as rows of 64, is broadcast; its size doesn't depend on ids.
     It spares most rows a shuffle when ids are few; an equi-join must follow.
@@ -43,10 +43,6 @@ def only_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
         .groupBy("_w")
         .agg(F.bit_or("_b").alias("_bits"))
     )
-    return (
-        docs.withColumn("_c", cell(F.col(key)))
-        .withColumn("_w", F.floor(F.col("_c") / 64))
-        .join(F.broadcast(bits), "_w")
-        .where(F.col("_bits").bitwiseAND(bit("_c")) != 0)
-        .drop("_c", "_w", "_bits")
-    )
+    hit = F.coalesce(F.col("_bits").bitwiseAND(bit("_c")) != 0, F.lit(False))
+    marked = docs.withColumn("_c", cell(F.col(key))).withColumn("_w", F.floor(F.col("_c") / 64)).join(F.broadcast(bits), "_w", "left" if others else "inner")
+    return marked.where(~hit if others else hit).drop("_c", "_w", "_bits")
