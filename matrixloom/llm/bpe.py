@@ -206,7 +206,7 @@ def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = (), t
                     else:
                         others.append([])
                     sequences.append(pack.compress(found[units.offsets[d] : units.offsets[d + 1]].astype("<u4").tobytes()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sequences, pa.binary()), pa.array(others, pa.list_(pa.binary()))], ["_row", "sequence", "others"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sequences, pa.binary()), pa.array(others, pa.list_(pa.binary())), *(c.slice(i, j - i) for c in batch.columns[2:])], ["_row", "sequence", "others", *keep])
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, names_, unpack = words.value, names.value, zstandard.ZstdDecompressor()
@@ -237,15 +237,12 @@ def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = (), t
                 yield pa.RecordBatch.from_arrays([*out, pa.array(texts_out, pa.binary()).cast(pa.string())] if decoded else out, out_names)
 
     numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"), *keep)
-    sequence_schema = "_row long, sequence binary, others array<binary>"
-    kept_columns = numbered.select("_row", *keep)
-    sequences = numbered.select("_row", "_text").mapInArrow(number, sequence_schema)
+    kept = [docs.schema[c] for c in keep]
+    sequences = numbered.mapInArrow(number, T.StructType([*T._parse_datatype_string("_row long, sequence binary, others array<binary>").fields, *kept]))
     rare = sequences.select("_row", F.posexplode("others").alias("place", "word"))
     found = rare.join(table.where((F.length("word") > LONGEST) | (F.col("n") < least)).select("word", "ids"), "word").groupBy("_row").agg(F.collect_list(F.struct("place", "ids")).alias("found"))
-    joined = sequences.select("_row", "sequence").join(found, "_row", "left")
-    if keep:
-        joined = joined.join(kept_columns, "_row")
-    fields = [docs.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())] + ([T.StructField("decoded", T.StringType())] if decoded else [])
+    joined = sequences.select("_row", "sequence", *keep).join(found, "_row", "left")
+    fields = kept + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())] + ([T.StructField("decoded", T.StringType())] if decoded else [])
     out_names = [f.name for f in fields]
     return joined.select("sequence", "found", *keep).mapInArrow(assemble, T.StructType(fields))
 

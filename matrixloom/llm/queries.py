@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import bpe, decontam, embdedup, neardup, pii, quality, secrets, sharding, suffix, toxicity
 
 
@@ -88,7 +90,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_sharding, op3_suffix_dedup, op4_bpe, op5_decontaminate, op6_quality, op7_pii, op8_toxicity, op9_secrets, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_sharding, op3_suffix_dedup, op4_bpe, op5_decontaminate, op6_quality, op7_pii, op8_toxicity, op9_secrets, op10_embedding_dedup)} | {"pipeline": corpus_pipeline.run}
 
 _OP5 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
