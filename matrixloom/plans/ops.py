@@ -325,8 +325,11 @@ def plan_append(spark: SparkSession, store, *, cells, include_new_obs: bool = Fa
     return _plan(_opened(spark, store), _opened(spark, cells), include_new_obs)
 
 
-def append(spark: SparkSession, store, *, cells, drop_derived: bool = False, include_new_obs: bool = False, cfg: AppConfig | None = None, branch: str | None = None, message: str | None = None, commit: bool = True) -> OpResult:
-    """Adds the rows of another store: new files for csr and dense matrices, csc layers anew. All or nothing, plain stores too."""
+def append(spark: SparkSession, store, *, cells, drop_derived: bool = False, include_new_obs: bool = False, cfg: AppConfig | None = None, branch: str | None = None, message: str | None = None, commit: bool = True, uns: dict | None = None) -> OpResult:
+    """Adds the rows of another store: new files for csr and dense matrices, csc layers anew. All or nothing, plain stores too.
+
+    uns: entries to set in the store's uns by the same commit.
+    """
     cfg = validated(cfg or AppConfig())
     new = _opened(spark, cells)
     place = _InPlace(spark, store, branch, message, {"op": "append", "cells": _path(cells)}, commit)
@@ -356,6 +359,7 @@ def append(spark: SparkSession, store, *, cells, drop_derived: bool = False, inc
             target.add_files(key, shifted.repartitionByRange("row_id").sortWithinPartitions("row_id"), rows=n, nnz=more.nnz())
         target.put_frame("obs", extend(target.frame("obs"), new.frame("obs"), plan.columns))
         target.manifest["n_obs"] = old_n + n
+        target.manifest["uns"] = {**target.uns, **(uns or {})}
         try:
             verified(target)
         except (StorageError, ConversionError) as e:

@@ -42,15 +42,7 @@ def appender(store: str | Repo, row: str, column: str, value: str) -> Callable[[
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ops.convert(spark, cells, output=place)
-            if isinstance(store, Repo):
-                ops.append(spark, store, cells=place, drop_derived=True, commit=False)
-                store.stage().manifest["uns"][LAST] = number
-                store.commit(f"batch {number}")
-            else:
-                ops.append(spark, store, cells=place, drop_derived=True)
-                after = Store.open(spark, store)
-                after.manifest["uns"][LAST] = number
-                after.commit()
+            ops.append(spark, store, cells=place, drop_derived=True, uns={LAST: number})
         target.files.delete(f"stream/{number}")
 
     return run
