@@ -156,7 +156,9 @@ def plan_columns(store: Frame, cells: Frame, *, include_new: bool = False) -> Co
             else:
                 known = set(c.categories)
                 seen = cells.df.where(F.col(c.name).isNotNull()).groupBy(c.name).agg(F.min(cells.id).alias("_f"))
-                fresh = [r[0] for r in seen.where(~F.col(c.name).isin(*known) if known else F.lit(True)).orderBy("_f").limit(MAX_LABELS).collect()] if labels is None or labels - known else []
+                fresh = [r[0] for r in seen.where(~F.col(c.name).isin(*known) if known else F.lit(True)).orderBy("_f").limit(MAX_LABELS + 1).collect()] if labels is None or labels - known else []
+                if len(fresh) + len(known) > MAX_LABELS:
+                    raise ValidationError(f"column {c.name!r} would have more than {MAX_LABELS} categories")
                 if fresh:
                     wider = replace(c, categories=(*c.categories, *fresh))
                     notes.append(f"{c.name}: new categories {', '.join(fresh[:5])}{' and more' if len(fresh) > 5 else ''}")

@@ -112,9 +112,9 @@ def csc_pack(spark, sf_dir):
     )
 
 
-@query(WITH + "SELECT o.row_id, string_agg(CAST(CAST(COALESCE(e.value, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY s.col_id) AS row_values FROM o CROSS JOIN s LEFT JOIN e ON e.row_id = o.row_id AND e.col_id = s.col_id WHERE o.row_id IN (SELECT row_id FROM e) AND o.row_id < 500 GROUP BY o.row_id")
+@query(WITH + "SELECT o.row_id, string_agg(CAST(CAST(COALESCE(e.value, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY s.col_id) AS row_values FROM o CROSS JOIN s LEFT JOIN e ON e.row_id = o.row_id AND e.col_id = s.col_id WHERE o.row_id IN (SELECT row_id FROM e) GROUP BY o.row_id")
 def dense_pack(spark, sf_dir):
-    packed = _matrix(spark, sf_dir).rows(0, 500).to("dense", col_chunk=32)
+    packed = _matrix(spark, sf_dir).to("dense", col_chunk=32)
     # Stretches without entries are absent; they are filled in here to show whole rows.
     n, width = packed.n_cols, packed.col_chunk
     spine = packed.df.select("row_id").distinct().select("row_id", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // width))).alias("col_block"))

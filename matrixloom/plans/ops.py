@@ -315,7 +315,7 @@ def _plan(target: Store, cells: Store, include_new: bool) -> AppendPlan:
     marked = duplicate_names(cells.frame("obs").df.select("row_id", "name"), "name", "row_id", target.frame("obs").df.select("name"))
     again = marked.where("duplicate").count()
     if again == cells.n_obs:
-        raise ValidationError("every name of the cells is in the store: already appended?")
+        raise ValidationError("every name of the cells is in the store or repeats; they seem to have been appended before")
     dropped = tuple(k for k, d in decisions if d == "drop")
     return AppendPlan(cells.n_obs, tuple(target.keys("obsm")), tuple(target.keys("obsp")), dropped, shared, again, (*notes, *columns.notes), columns)
 

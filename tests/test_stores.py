@@ -175,7 +175,7 @@ def test_append(spark, tmp_path):
     assert done.n_obs == s.n_obs == 13 and (dense(s.matrix()) == np.vstack([x, y])).all() and (dense(s.matrix("layers/counts")) == np.vstack([x, y])).all()
     assert {p for p in before if p.startswith("data/X/")} < s.used(), "the files of X stay"
     assert table(s.frame("obs")).tag.tolist() == [1] * 8 + [2] * 5 and not s.keys("obsm")
-    with pytest.raises(ValidationError, match="already"):
+    with pytest.raises(ValidationError, match="appended before"):
         ml.append(spark, path, cells=cells)
 
 
