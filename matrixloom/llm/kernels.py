@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at a time; longer documents are handled whole, in pieces of this size where bytes are hashed.
-PIECE = 2 << 20
+PIECE = 1 << 20
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 BASE_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -36,14 +36,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a text column, end to end, and each text's offsets; null counts as empty."""
+    """The UTF-8 bytes of a text column, end to end, and each text's offsets; null counts as empty. The bytes aren't copied."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "").cast(pa.large_string())
     if not len(column):
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
-    _, where, data = column.buffers()
-    offsets = np.frombuffer(where, np.int64)[column.offset : column.offset + len(column) + 1]
+    for _ in range(2):
+        _, where, data = column.buffers()
+        kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+        offsets = np.frombuffer(where, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        if not column.null_count or not np.diff(offsets)[~column.is_valid().to_numpy(zero_copy_only=False)].any():
+            break
+        column = pc.fill_null(column, "")  # a null with bytes of its own
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 

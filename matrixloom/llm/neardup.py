@@ -9,8 +9,8 @@ million. Documents with equal shingle sets (by a 128-bit hash) are one class bef
 
 Verification keeps every link's effect without all pairs of a bucket: in two rounds each member of a bucket meets one pivot (the
 least by a hash, then the greatest), and confirmed links join components. Buckets whose members are all in one component are
-done. In what remains, members of different components meet in blocks of BLOCK by their sketches, at least ESTIMATE alike (more
-than 5 deviations below 0.75), and are confirmed in turn. A link is confirmed on whole texts: 100 * |A & B| >= 75 * |A | B|.
+done. In what remains, members outside a bucket's largest component meet its members of other components in blocks of BLOCK; those
+whose sketches are at least ESTIMATE alike (more than 5 deviations below 0.75) are confirmed where they meet. A link is confirmed on whole texts: 100 * |A & B| >= 75 * |A | B|.
 
 Texts travel only for candidates: a bitmap of fixed size spares the others the shuffle. A pivot with many members is dealt to
 several tasks of at most SHARE members each.
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 from .components import components
-from .shared import materialize, only_ids
+from .shared import materialize, only_ids, release
 
 SHINGLE = 5
 SIMILAR = (75, 100)
@@ -134,10 +134,8 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if (pivots[k], shares[k]) != pivot:
                     assert ids[k] == pivots[k], "the pivot comes first"
                     pivot, pivot_set = (pivots[k], shares[k]), own.copy()
-                elif ids[k] != pivots[k] and len(own) and len(pivot_set):
-                    at = np.minimum(np.searchsorted(pivot_set, own), len(pivot_set) - 1)
-                    both = int((pivot_set[at] == own).sum())
-                    linked[k] = SIMILAR[1] * both >= SIMILAR[0] * (len(own) + len(pivot_set) - both)
+                elif ids[k] != pivots[k]:
+                    linked[k] = _links_with(pivot_set, own)
         yield pa.RecordBatch.from_arrays([pa.array(pivots[linked]), pa.array(ids[linked])], ["a", "b"])
 
 
@@ -166,33 +164,63 @@ def _pivots(buckets: DataFrame, groups: DataFrame | None, last: bool) -> DataFra
 
 def _grouped(buckets: DataFrame, groups: DataFrame) -> DataFrame:
     """The buckets' members with their component, without buckets that lie in one component."""
-    members = buckets.join(groups.select("id", F.col("component_id").alias("g")), "id", "left").select("key", "id", F.coalesce("g", "id").alias("c"))
+    members = buckets.join(groups.select("id", F.col("component_id").alias("g")), "id", "left").select("key", "band", "id", F.coalesce("g", "id").alias("c"))
     mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     return members.join(mixed, "key")
 
 
-def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of one bucket, or two of them, as rows sorted by block: members of different components with similar sketches."""
+def _links_with(pivot_set: np.ndarray, own: np.ndarray) -> bool:
+    """Whether two sets, in order, are similar enough."""
+    if not len(own) or not len(pivot_set):
+        return False
+    at = np.minimum(np.searchsorted(pivot_set, own), len(pivot_set) - 1)
+    both = int((pivot_set[at] == own).sum())
+    return SIMILAR[1] * both >= SIMILAR[0] * (len(own) + len(pivot_set) - both)
+
+
+def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket and blocks: each member of a minority (side 1) meets the block's members (side 0) of other components.
+
+    A pair is looked at in the first band that it shares, and once of the two ways round; a member that links with a component needs
+    no more links with it. Gives the links found.
+    """
     held: list[tuple] = []
     at = None
 
-    def pairs():
-        ids, groups, side, cells = (np.concatenate(x) for x in zip(*held, strict=True))
-        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = not len(two)
-        two = one if same else two
-        for i in one:
-            others = two[two > i] if same else two
-            others = others[groups[others] != groups[i]]
-            if len(others):
-                near = others[(cells[others] == cells[i]).mean(axis=1) >= ESTIMATE]
-                if len(near):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[near], ids[i])), pa.array(np.maximum(ids[near], ids[i]))], ["pivot", "id"])
+    def links():
+        ids, groups, side, small, cells, keys, texts = (np.concatenate(x) if i < 6 else [t for y in x for t in y] for i, x in enumerate(zip(*held, strict=True)))
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(k: int) -> np.ndarray:
+            if k not in sets:
+                raw = np.frombuffer((texts[k] or "").encode(), np.uint8)
+                sets[k] = shingle_sets(raw, np.array([0, len(raw)]))[0]
+            return sets[k]
+
+        all_ = np.flatnonzero(side == 0)
+        a, b = [], []
+        for i in np.flatnonzero(side == 1).tolist():
+            others = all_[(groups[all_] != groups[i]) & (~small[all_] | (ids[all_] > ids[i]))]
+            if not len(others):
+                continue
+            others = others[(keys[others] == keys[i]).argmax(axis=1) == at[3]]
+            alike = (cells[others] == cells[i]).mean(axis=1)
+            order = np.argsort(-alike, kind="stable")
+            done = set()
+            for k in others[order[: int((alike >= ESTIMATE).sum())]].tolist():
+                if groups[k] not in done and _links_with(set_of(i), set_of(k)):
+                    done.add(groups[k])
+                    a.append(min(ids[i], ids[k]))
+                    b.append(max(ids[i], ids[k]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:
-        names = list(zip(*(np.asarray(batch.column(c)).tolist() for c in ("key", "x", "y")), strict=True))
+        names = list(zip(*(np.asarray(batch.column(c)).tolist() for c in ("key", "x", "y", "band")), strict=True))
         ids, groups, side = (np.asarray(batch.column(c)) for c in ("id", "c", "side"))
+        small = batch.column("small").to_numpy(zero_copy_only=False)
         cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.uint8).reshape(len(ids), BINS)
+        keys = np.asarray(batch.column("bands").flatten()).reshape(len(ids), BANDS)
+        texts = batch.column("text").to_pylist()
         s = 0
         while s < len(names):
             e = s + 1
@@ -200,24 +228,34 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 e += 1
             if names[s] != at:
                 if held:
-                    yield from pairs()
+                    yield links()
                 held, at = [], names[s]
-            held.append((ids[s:e], groups[s:e], side[s:e], cells[s:e]))
+            held.append((ids[s:e], groups[s:e], side[s:e], small[s:e], cells[s:e], keys[s:e], texts[s:e]))
             s = e
     if held:
-        yield from pairs()
+        yield links()
+
 
+def _remaining(buckets: DataFrame, groups: DataFrame, sketched: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b) that still join components: between members of different components in a bucket.
 
-def _remaining(buckets: DataFrame, groups: DataFrame, sketched: DataFrame) -> DataFrame:
-    """(pivot, id) for members of different components in a bucket whose sketches are alike; large buckets meet block by block."""
+    Pairs inside a bucket's largest component need no look, so only members of its other components, the minority, meet all members. Both
+    are dealt to blocks of about BLOCK, and a block of the minority meets each block of all: rows grow with the bucket times the
+    blocks of its minority, mostly one. Pairs are looked at where they meet, and only links leave.
+    """
     members = materialize(_grouped(buckets, groups), "open")
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    placed = members.join(blocks, "key").withColumn("m", F.pmod(F.xxhash64("id", F.lit(5)), F.col("k")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("k") - 1)
-    meets = placed.withColumn("o", F.explode(every)).select("key", F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), (F.col("m") > F.col("o")).cast("int").alias("side"), "id", "c")
-    rows = meets.join(only_ids(sketched.select("id", "cells"), members.select("id").distinct(), "id"), "id")
+    sizes = members.groupBy("key", "c").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top"))
+    blocks = largest.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"), F.greatest(F.ceil((F.col("n") - F.col("top.n")) / BLOCK), F.lit(1)).cast("int").alias("ko"), F.col("top.c").alias("top"))
+    placed = members.join(blocks, "key").select("key", "band", "id", "c", "k", "ko", (F.col("c") != F.col("top")).alias("small"), F.xxhash64("id", F.lit(5)).alias("m"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    everyone = placed.select("key", "band", F.pmod("m", "k").cast("int").alias("x"), each("ko").alias("y"), F.lit(0).alias("side"), "id", "c", "small")
+    minority = placed.where("small").select("key", "band", each("k").alias("x"), F.pmod("m", "ko").cast("int").alias("y"), F.lit(1).alias("side"), "id", "c", "small")
+    ids = members.select("id").distinct()
+    known = only_ids(sketched.select("id", "cells", "bands"), ids, "id").join(only_ids(texts, ids, "id"), "id").dropDuplicates(["id"])
+    rows = everyone.union(minority).join(known, "id")
     n = max(8, int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_alike, "pivot long, id long").distinct()
+    return materialize(rows.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_meet, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,14 +266,17 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     classes = sketched.where("id is not null and n_shingles > 0").groupBy("a", "b").agg(F.min("id").alias("rep"))
     member = materialize(sketched.where("id is not null and n_shingles > 0").select("id", "a", "b").join(classes, ["a", "b"]).select("id", "rep"), "classes")
     reps = sketched.join(member.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    keyed = reps.select("id", F.explode("bands").alias("key"))
+    keyed = reps.select("id", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = materialize(keyed.join(shared, "key"), "buckets")
+    release(docs.sparkSession)
     found = _confirmed(_pivots(buckets, None, False), texts)
     groups = materialize(components(found, "a", "b"), "groups")
+    release(docs.sparkSession)
     found = found.union(_confirmed(_pivots(buckets, groups, True), texts))
     groups = materialize(components(found, "a", "b"), "groups")
-    found = found.union(_confirmed(_remaining(buckets, groups, reps), texts))
+    release(docs.sparkSession)
+    found = found.union(_remaining(buckets, groups, reps, texts))
     # Copies link to their representative; a doc_id with several rows has several sets, which its id connects.
     every = found.union(member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
     groups = components(every, "a", "b").withColumnRenamed("id", "_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: Cells of the pre-filter for joins of documents with a few ids: its broadcast has at most CELLS / 64 rows.
 CELLS = 1 << 23
+#: Rows that go to Python at a time while a table is written.
+ROWS = 2000
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,10 +29,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it from there, so that lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    batch = spark.conf.get(BATCH, "10000")
+    spark.conf.set(BATCH, str(min(int(batch), ROWS)))  # texts are long: smaller batches keep tasks' buffers small
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, batch)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more, which it else does when the driver's heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def only_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", others: bool = False) -> DataFrame:
     """The rows of docs whose key may be in ids (one column): all that are, and a few others. With others=True, all rows but these.
 
