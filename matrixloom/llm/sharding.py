@@ -150,8 +150,9 @@ def assign(docs: DataFrame, *, shards: int | None = None, target_bytes: int | No
     """For each row: key, size, text_crc32, shard and slot.
 
     Give the number of shards, or the bytes that a shard should reach. Dimensions are the size (as a logarithm), the key if
-    it is a number, the columns `numbers`, and the columns `names` by hash.
+    it is a number, the columns `numbers`, and the columns `names` by hash; those that docs doesn't have are left out.
     """
+    numbers, names = ([c for c in x if c in docs.columns] for x in (numbers, names))
     if (shards is None) == (target_bytes is None):
         raise ValueError("give either shards or target_bytes")
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
