@@ -3,15 +3,17 @@
 Texts are split into words at places where the tokenizer always starts a new pre-token: white space, and the borders
 between ASCII letters (or those of Latin-1), single ASCII digits, and ASCII signs other than the apostrophe. ASCII letters
 are lowered, as the tokenizer does. So a text's ids are its words' ids, end to end. Texts with "<|", where special tokens may
-be, are split at white space only and keep their case. The words are counted over all documents, and each distinct word is
-encoded once, by the library itself.
+be, are split at white space only and keep their case.
 
-Ids come back by position: a text becomes a sequence of word numbers. The HOT most frequent words (short ones, so that
-their table has a fixed size) are numbered in every task from a broadcast; all other words, rare by construction, are joined
-with the word table by a shuffle, each once for each document, and their ids return to the document by row number.
-Texts themselves are never shuffled: only the sequences, compressed. Decoding joins ids with the vocabulary's pieces.
+The table of distinct words has two parts, and each word is encoded once, by the library itself. Frequent words: all texts are counted,
+and the HOT words that come most often (short ones, so that their table has a fixed size) are encoded and broadcast; for this choice,
+which decides on nothing but speed, a word counts in stretches of text where it comes twice. All other words: each text lists its
+own once, with their place; the lists are shuffled by word, and where equal words meet, the word is encoded once.
 
-Words are matched by 64-bit hashes in the broadcast and by their bytes in the shuffle.
+Ids come back by position: a text becomes a sequence of word numbers, and the ids of its rare words return by row number and
+place. Texts themselves are never shuffled: only the sequences, compressed. Decoding joins ids with the vocabulary's pieces.
+
+Frequent words are matched by 64-bit hashes, others by their bytes.
 
 Defined cases: null and empty texts have no ids and decode to an empty text; very long words and texts are handled whole;
 rows are told apart by their place in the input, so null and repeated keys keep a result each; words the tokenizer gives no
@@ -31,12 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .shared import materialize
+from .shared import materialize, release
 
 #: Words in the broadcast, and the longest of them in bytes: it has at most HOT * (LONGEST + its ids).
 HOT = 1 << 18
 LONGEST = 48
-SLOTS = 22
+SLOTS = 20
 WHITE, LETTER, DIGIT, SIGN, OTHER = range(5)
 KIND = np.full(256, OTHER, np.uint8)
 KIND[[0x20, *range(0x09, 0x0E)]] = WHITE
@@ -113,38 +115,67 @@ def pieces_of(tokenizer: str) -> list[str]:
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The short words that come twice in a stretch of text, with their number there."""
     for batch in batches:
         data, offsets = K.text_bytes(batch.column(0))
         for i, j in K.pieces(offsets, 4 * K.PIECE):
             units = Units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             _, first, n = np.unique(units.hashes, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(units.words(first), pa.binary()), pa.array(n)], ["word", "n"])
+            keep = (n > 1) & (units.ends[first] - units.starts[first] <= LONGEST)
+            yield pa.RecordBatch.from_arrays([pa.array(units.words(first[keep]), pa.binary()), pa.array(n[keep])], ["word", "n"])
 
 
-def word_table(docs: DataFrame, *, text: str = "text", tokenizer: str) -> DataFrame:
-    """(word, n, ids): each distinct word of all documents, how often it comes, and its ids as little-endian 32-bit integers."""
-    shipped = docs.sparkSession.sparkContext.broadcast(tokenizer)
+def _encode(words: list[bytes], tokenizer: str) -> list[bytes]:
+    """Each word's ids as little-endian 32-bit integers."""
+    found = _tokenizer(tokenizer).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+    return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = _tokenizer(shipped.value).encode_batch_fast([w.decode() for w in batch.column(0).to_pylist()], add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.array(x.ids, "<u4").tobytes() for x in found], pa.binary())], ["word", "n", "ids"])
 
-    words = docs.select(text).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return materialize(words.mapInArrow(encode, "word binary, n long, ids binary"), "words")
+def frequent_words(docs: DataFrame, *, text: str = "text", hot: int = HOT) -> list[bytes]:
+    """At most `hot` words of at most LONGEST bytes, those that come most often first."""
+    words = materialize(docs.select(text).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    bins = sorted(((r["b"], r["n"]) for r in words.groupBy(F.floor(F.log2(F.col("n").cast("double")) * 64).alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 64 * 64 rows
+    least, total = 1 << 62, 0
+    for b, n in bins:
+        total += n
+        if total > hot:
+            break
+        least = int(np.ceil(2 ** (b / 64) - 1e-9))
+    rows = words.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return rows["word"].to_pylist()
+
+
+class Flat:
+    """Byte strings end to end, to be put together by their numbers."""
+
+    def __init__(self, values: list[bytes]):
+        self.size = np.array([len(x) for x in values], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(values), np.uint8)
+
+    def gather(self, numbers: np.ndarray, more: Flat | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The strings of some numbers end to end, and how long each is; numbers beyond these strings are those of `more`."""
+        n, size, start, data = len(self.size), self.size, self.start, self.data
+        if more is not None and len(more.size):
+            size, start, data = np.concatenate((size, more.size)), np.concatenate((start, more.start + len(data))), np.concatenate((data, more.data))
+        assert not len(numbers) or numbers.max() < max(n, len(size))
+        lengths = size[numbers]
+        ends = np.cumsum(lengths)
+        at = np.repeat((start[numbers] - ends + lengths).astype(np.int32 if len(data) + (ends[-1] if len(ends) else 0) < 2**31 else np.int64), lengths)
+        at += np.arange(len(at), dtype=at.dtype)
+        return data[at], lengths
 
 
 class Hot:
-    """The frequent words: a table from hashes to numbers, and the numbers' ids and decoded texts."""
+    """The frequent words, most frequent first: a table from hashes to numbers, and the numbers' ids and decoded texts (a space after each)."""
 
     def __init__(self, words: list[bytes], ids: list[bytes], pieces: list[str]):
         ends = np.cumsum([0, *map(len, words)])
         hashes, _ = K.hash_spans(np.frombuffer(b"".join(words), np.uint8), ends[:-1], ends[1:])
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.ids = [ids[i] for i in order.tolist()]
-        self.decoded = [decode_ids(x, pieces) for x in self.ids]
-        self.first = np.full(1 << SLOTS, 0, np.int32)
+        self.hashes, self.number = hashes[order], order.astype(np.int32)
+        self.ids, self.decoded = Flat(ids), Flat([spaced(x, pieces) for x in ids])
+        self.first = np.zeros(1 << SLOTS, np.int32)
         self.first[self.hashes >> np.uint64(64 - SLOTS)] = np.arange(len(order), dtype=np.int32)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
@@ -155,7 +186,7 @@ class Hot:
         rest = np.flatnonzero(self.hashes[out] != hashes)
         at = np.minimum(np.searchsorted(self.hashes, hashes[rest]), len(self.hashes) - 1)
         out[rest] = np.where(self.hashes[at] == hashes[rest], at, -1)
-        return out
+        return np.where(out < 0, -1, self.number[out])
 
 
 def decode_ids(ids: bytes, pieces: list[str]) -> bytes:
@@ -163,32 +194,53 @@ def decode_ids(ids: bytes, pieces: list[str]) -> bytes:
     return " ".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()]).encode()
 
 
-def _hot(table: DataFrame, hot: int) -> tuple[DataFrame, int]:
-    """The words that are broadcast, at most `hot`, and the count from which on words are among them."""
-    bins = sorted(((r["b"], r["n"]) for r in table.where(F.length("word") <= LONGEST).groupBy(F.floor(F.log2(F.col("n").cast("double")) * 64).alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 64 * 64 rows
-    least, total = 1 << 62, 0
-    for b, n in bins:
-        total += n
-        if total > hot:
-            break
-        least = int(np.ceil(2 ** (b / 64) - 1e-9))
-    return table.where((F.length("word") <= LONGEST) & (F.col("n") >= least)), least
+def spaced(ids: bytes, pieces: list[str]) -> bytes:
+    """The text of some ids with a space after it; nothing for no ids."""
+    return decode_ids(ids, pieces) + b" " if ids else b""
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, compressed: frequent words have small numbers, so the upper planes are nearly empty."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = (), tokenizer: str | None = None, hot: int = HOT, decoded: bool = False) -> DataFrame:
-    """For each row: the columns `keep`, n_tokens, ids (little-endian 32-bit integers) and, if asked, decoded: the decoded text."""
+    """For each row: the columns `keep`, n_tokens, ids (little-endian 32-bit integers) and, if asked, decoded: the decoded text.
+
+    A kept column that is called like one of the results is left out.
+    """
+    keep = tuple(c for c in keep if c not in ("n_tokens", "ids", "decoded"))
+    inner = tuple(f"_keep{i}" for i in range(len(keep)))
     spark = docs.sparkSession
     tokenizer = tokenizer or read_tokenizer()
-    table = word_table(docs, text=text, tokenizer=tokenizer)
-    frequent, least = _hot(table, hot)
-    rows = frequent.select("word", "ids").toArrow()  # at most `hot` words of at most LONGEST bytes
+    frequent = frequent_words(docs, text=text, hot=hot)
+    release(spark)
     pieces = pieces_of(tokenizer)
-    words = spark.sparkContext.broadcast(Hot(rows["word"].to_pylist(), rows["ids"].to_pylist(), pieces))
-    names = spark.sparkContext.broadcast(pieces)
+    words = spark.sparkContext.broadcast(Hot(frequent, _encode(frequent, tokenizer), pieces))
+    names, shipped = spark.sparkContext.broadcast(pieces), spark.sparkContext.broadcast(tokenizer)
+
+    def encode_rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by word to (_row, place and ids in one); a word is encoded where it first comes."""
+        last, ids = None, b""
+        for batch in batches:
+            own = batch.column(2).to_pylist()
+            fresh = [w for w, before in zip(own, [last, *own], strict=False) if w != before]
+            codes = iter(_encode(fresh, shipped.value))
+            out = []
+            for word, place in zip(own, np.asarray(batch.column(1)).astype("<u4"), strict=True):
+                if word != last:
+                    last, ids = word, next(codes)
+                out.append(place.tobytes() + ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["_row", "found"])
 
     def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Row number, and the text as numbers of frequent words, or their count plus the place among the text's other words."""
-        table, pack = words.value, zstandard.ZstdCompressor(level=1)
+        table = words.value
         for batch in batches:
             data, offsets = K.text_bytes(batch.column(1))
             for i, j in K.pieces(offsets):
@@ -205,46 +257,50 @@ def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = (), t
                         others.append(units.words(own[first]) if len(first) > 64 else [units.low[s:e].tobytes() for s, e in zip(units.starts[own[first]], units.ends[own[first]], strict=True)])
                     else:
                         others.append([])
-                    sequences.append(pack.compress(found[units.offsets[d] : units.offsets[d + 1]].astype("<u4").tobytes()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sequences, pa.binary()), pa.array(others, pa.list_(pa.binary())), *(c.slice(i, j - i) for c in batch.columns[2:])], ["_row", "sequence", "others", *keep])
+                    sequences.append(_pack(found[units.offsets[d] : units.offsets[d + 1]]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sequences, pa.binary()), pa.array(others, pa.list_(pa.binary())), *(c.slice(i, j - i) for c in batch.columns[2:])], ["_row", "sequence", "others", *inner])
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, names_, unpack = words.value, names.value, zstandard.ZstdDecompressor()
+        table, names_ = words.value, names.value
         n = len(table.hashes)
         for batch in batches:
             kept = batch.columns[2:]
-            sizes = np.array([zstandard.frame_content_size(x) for x in batch.column(0).to_pylist()] or [0])
-            for i, j in K.pieces(np.concatenate(([0], np.cumsum(sizes)))) if batch.num_rows else ():
-                ids_out, texts_out = [], []
+            sizes = np.array([zstandard.frame_content_size(x.as_buffer()) for x in batch.column(0)] or [0])
+            for i, j in K.pieces(np.concatenate(([0], np.cumsum(sizes))), K.PIECE // 2) if batch.num_rows else ():
+                numbers, rare = [], []
                 for packed, found in zip(batch.column(0).slice(i, j - i).to_pylist(), batch.column(1).slice(i, j - i).to_pylist(), strict=True):
-                    sequence = np.frombuffer(unpack.decompress(packed), "<u4")
-                    own = {n + x["place"]: x["ids"] for x in found or ()}
-                    texts = None
-                    numbers = sequence.tolist()
-                    if own:
-                        ids = [table.ids[x] if x < n else own[x] for x in numbers]
-                        if decoded:
-                            spelt = {x: decode_ids(y, names_) for x, y in own.items()}
-                            texts = [table.decoded[x] if x < n else spelt[x] for x in numbers]
-                    else:
-                        ids = [table.ids[x] for x in numbers]
-                        texts = [table.decoded[x] for x in numbers] if decoded else None
-                    ids_out.append(b"".join(ids))
-                    if decoded:
-                        texts_out.append(b" ".join(filter(None, texts)))
-                size = pa.array([len(x) // 4 for x in ids_out], pa.int64())
-                out = [*(x.slice(i, j - i) for x in kept), size, pa.array(ids_out, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(texts_out, pa.binary()).cast(pa.string())] if decoded else out, out_names)
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"), *keep)
+                    own = _unpack(packed).astype(np.int64)
+                    own[own >= n] += len(rare)
+                    numbers.append(own)
+                    rare += [x[4:] for x in sorted(found or (), key=lambda x: int.from_bytes(x[:4], "little"))]
+                cut = np.concatenate(([0], np.cumsum([len(x) for x in numbers])))
+                numbers = np.concatenate(numbers)
+
+                def put(hot: Flat, more: Flat, end: int, numbers=numbers, cut=cut) -> list[bytes]:
+                    data, lengths = hot.gather(numbers, more)
+                    at = np.concatenate(([0], np.cumsum(lengths)))[cut]
+                    return [data[a : max(a, b - end)].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+                ids_out = put(table.ids, Flat(rare), 0)
+                out = [*(x.slice(i, j - i) for x in kept), pa.array([len(x) // 4 for x in ids_out], pa.int64()), pa.array(ids_out, pa.binary())]
+                if decoded:
+                    out.append(pa.array(put(table.decoded, Flat([spaced(x, names_) for x in rare]), 1), pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays(out, out_names)
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"), *(F.col(c).alias(i) for c, i in zip(keep, inner, strict=True)))
     kept = [docs.schema[c] for c in keep]
-    sequences = numbered.mapInArrow(number, T.StructType([*T._parse_datatype_string("_row long, sequence binary, others array<binary>").fields, *kept]))
+    renamed = [T.StructField(i, f.dataType) for i, f in zip(inner, kept, strict=True)]
+    sequences = numbered.mapInArrow(number, T.StructType([*T._parse_datatype_string("_row long, sequence binary, others array<binary>").fields, *renamed]))
     rare = sequences.select("_row", F.posexplode("others").alias("place", "word"))
-    found = rare.join(table.where((F.length("word") > LONGEST) | (F.col("n") < least)).select("word", "ids"), "word").groupBy("_row").agg(F.collect_list(F.struct("place", "ids")).alias("found"))
-    joined = sequences.select("_row", "sequence", *keep).join(found, "_row", "left")
+    # Frequent words are gone from these; only a very long word may come in very many texts, so those are dealt to several tasks.
+    share = F.when(F.length("word") > LONGEST, F.pmod("_row", F.lit(64))).otherwise(0)
+    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sorted_words = rare.repartition(n, "word", share).sortWithinPartitions("word")
+    found = sorted_words.mapInArrow(encode_rare, "_row long, found binary").groupBy("_row").agg(F.collect_list("found").alias("found"))  # at most a text's own words
+    joined = sequences.select("_row", "sequence", *inner).join(found, "_row", "left")
     fields = kept + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())] + ([T.StructField("decoded", T.StringType())] if decoded else [])
     out_names = [f.name for f in fields]
-    return joined.select("sequence", "found", *keep).mapInArrow(assemble, T.StructType(fields))
+    return joined.select("sequence", "found", *inner).mapInArrow(assemble, T.StructType(fields))
 
 
 def decode(encoded: DataFrame, *, ids: str = "ids", tokenizer: str | None = None) -> DataFrame:
