@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,7 +18,9 @@ def ship(spark: SparkSession) -> None:
     if spark.sparkContext.applicationId in _sent:
         return
     package = Path(__file__).parent.parent
-    path = Path(tempfile.mkdtemp(prefix="matrixloom-")) / "matrixloom.zip"
+    folder = tempfile.mkdtemp(prefix="matrixloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "matrixloom.zip"
     with zipfile.ZipFile(path, "w") as archive:
         for file in sorted(package.rglob("*.py")):
             archive.write(file, file.relative_to(package.parent))
