@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import new_path
+
 #: Cells of the pre-filter for joins of documents with a few ids: its broadcast has at most CELLS / 64 rows.
 CELLS = 1 << 23
 #: Rows that go to Python at a time while a table is written.
@@ -16,19 +16,10 @@ ROWS = 2000
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset, as in tests, a folder of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="matrixloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it from there, so that lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     batch = spark.conf.get(BATCH, "10000")
     spark.conf.set(BATCH, str(min(int(batch), ROWS)))  # texts are long: smaller batches keep tasks' buffers small
     try:
