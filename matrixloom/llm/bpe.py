@@ -131,8 +131,8 @@ def _encode(words: list[bytes], tokenizer: str) -> list[bytes]:
     return [np.array(x.ids, "<u4").tobytes() for x in found]
 
 
-def frequent_words(docs: DataFrame, *, text: str = "text", hot: int = HOT) -> list[bytes]:
-    """At most `hot` words of at most LONGEST bytes, those that come most often first."""
+def frequent_words(docs: DataFrame, *, text: str = "text", hot: int = HOT) -> DataFrame:
+    """(word, n): at most `hot` words of at most LONGEST bytes, those that come most often."""
     words = materialize(docs.select(text).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     bins = sorted(((r["b"], r["n"]) for r in words.groupBy(F.floor(F.log2(F.col("n").cast("double")) * 64).alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 64 * 64 rows
     least, total = 1 << 62, 0
@@ -141,17 +141,19 @@ def frequent_words(docs: DataFrame, *, text: str = "text", hot: int = HOT) -> li
         if total > hot:
             break
         least = int(np.ceil(2 ** (b / 64) - 1e-9))
-    rows = words.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    return rows["word"].to_pylist()
+    return words.where(F.col("n") >= least)
 
 
 class Flat:
     """Byte strings end to end, to be put together by their numbers."""
 
-    def __init__(self, values: list[bytes]):
-        self.size = np.array([len(x) for x in values], np.int64)
+    def __init__(self, values: list[bytes] | pa.ChunkedArray):
+        if isinstance(values, list):
+            values = pa.chunked_array([values], pa.binary())
+        parts = [np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64) for x in values.chunks if len(x)]
+        self.size = np.concatenate([np.empty(0, np.int64), *(np.diff(x) for x in parts)])
         self.start = np.cumsum(self.size) - self.size
-        self.data = np.frombuffer(b"".join(values), np.uint8)
+        self.data = np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(x.buffers()[2], np.uint8)[o[0] : o[-1]] for x, o in zip([x for x in values.chunks if len(x)], parts, strict=True) if o[-1] > o[0])])
 
     def gather(self, numbers: np.ndarray, more: Flat | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The strings of some numbers end to end, and how long each is; numbers beyond these strings are those of `more`."""
@@ -169,12 +171,12 @@ class Flat:
 class Hot:
     """The frequent words, most frequent first: a table from hashes to numbers, and the numbers' ids and decoded texts (a space after each)."""
 
-    def __init__(self, words: list[bytes], ids: list[bytes], pieces: list[str]):
-        ends = np.cumsum([0, *map(len, words)])
-        hashes, _ = K.hash_spans(np.frombuffer(b"".join(words), np.uint8), ends[:-1], ends[1:])
+    def __init__(self, table: pa.Table):
+        words = Flat(table["word"])
+        hashes, _ = K.hash_spans(words.data, words.start, words.start + words.size)
         order = np.argsort(hashes)
         self.hashes, self.number = hashes[order], order.astype(np.int32)
-        self.ids, self.decoded = Flat(ids), Flat([spaced(x, pieces) for x in ids])
+        self.ids, self.decoded = Flat(table["ids"]), Flat(table["text"])
         self.first = np.zeros(1 << SLOTS, np.int32)
         self.first[self.hashes >> np.uint64(64 - SLOTS)] = np.arange(len(order), dtype=np.int32)
 
@@ -221,9 +223,16 @@ def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = (), t
     frequent = frequent_words(docs, text=text, hot=hot)
     release(spark)
     pieces = pieces_of(tokenizer)
-    words = spark.sparkContext.broadcast(Hot(frequent, _encode(frequent, tokenizer), pieces))
     names, shipped = spark.sparkContext.broadcast(pieces), spark.sparkContext.broadcast(tokenizer)
 
+    def encode_frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = _encode(batch.column(0).to_pylist(), shipped.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array([spaced(x, names.value) for x in ids], pa.binary())], ["word", "n", "ids", "text"])
+
+    table = frequent.mapInArrow(encode_frequent, "word binary, n long, ids binary, text binary").toArrow()  # at most `hot` words of at most LONGEST bytes
+    words = spark.sparkContext.broadcast(Hot(table.sort_by([("n", "descending"), ("word", "ascending")])))
+
     def encode_rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by word to (_row, place and ids in one); a word is encoded where it first comes."""
         last, ids = None, b""
