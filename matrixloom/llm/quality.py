@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,11 +147,16 @@ def learn(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([row.tobytes() for row in x], pa.binary()), batch.column(2).slice(i, j - i)], ["key", "x", "grade"])
 
     schema = T.StructType([T.StructField("key", rows.schema["_key"].dataType), T.StructField("x", T.BinaryType()), T.StructField("grade", T.IntegerType())])
-    table = rows.mapInArrow(take, schema).toArrow().sort_by("key")  # at most `sample` rows of DIMS floats
+    table = rows.mapInArrow(take, schema).toArrow()  # at most `sample` rows of DIMS floats
     if not table.num_rows:
         return Model(np.zeros(DIMS), np.full(1, -50.0))
-    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, DIMS)
-    return fit(x, np.asarray(table["grade"]).astype(np.int64))
+    order = pc.sort_indices(table["key"]).to_numpy()
+    chunks = [x for x in table["x"].chunks if len(x)]  # rows have equal sizes, so their bytes are the matrix
+    x = np.concatenate([np.frombuffer(c.buffers()[2], np.float32)[c.offset * DIMS : (c.offset + len(c)) * DIMS].reshape(-1, DIMS) for c in chunks])
+    grades = np.asarray(table["grade"]).astype(np.int64)
+    del table, chunks
+    pa.default_memory_pool().release_unused()
+    return fit(x[order], grades[order])
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
