@@ -281,7 +281,10 @@ def test_decoding_joins_pieces(spark, tmp_path, tokenizer):
 
 def test_encoding_edges(spark, tmp_path, tokenizer):
     assert bpe.encode(frame(spark, []), keep=("doc_id",)).count() == 0
-    rows = bpe.encode(filed(spark, tmp_path, ["a b", "a b", None], [None, 4, 4]), keep=("doc_id", "ids") if False else ("doc_id",)).collect()
+    docs = filed(spark, tmp_path, ["a b", "a b", None], [None, 4, 4])
+    clashing = bpe.encode(docs.withColumn("ids", F.lit(1)).withColumn("_keep0", F.lit(2)), keep=("ids", "_keep0"))
+    assert clashing.columns == ["_keep0", "n_tokens", "ids"] and clashing.count() == 3
+    rows = bpe.encode(docs, keep=("doc_id",)).collect()
     assert sorted((r.doc_id is None, r.n_tokens) for r in rows) == [(False, 0), (False, 2), (True, 2)]
 
 
