@@ -5,7 +5,8 @@ of WINDOW consecutive words; an item with fewer words, but some, is one window.
 on its words. Every document word inside an occurrence of a window is hit.
 
 The broadcast holds at most MAX_WINDOWS windows. A larger benchmark is dealt with in several parts, each with a scan
-of its own, and the findings are merged by document; so its size is bounded whatever the benchmark has.
+of its own over the texts as they came, and the findings are united by row; so its size is bounded whatever the benchmark
+has, and the result doesn't depend on the number of parts. For that, rows get numbers and are written once.
 
 Defined cases: a null or empty text, or one without words, has no words and no hits; an item without words (or null)
 has no windows; an item with a null id hits but is not named; equal windows of several items name them all; repeated
@@ -14,6 +15,7 @@ rows and columns besides the key and the text change nothing; an empty benchmark
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .shared import materialize
 
 WINDOW = 10
 MAX_WINDOWS = 1_000_000
@@ -98,48 +101,56 @@ FOUND = T.StructType(
 _HITS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """For each row of docs: key, n_words, hits (runs of hit words: first and last word, start and end byte) and items (names in order)."""
-    spark = docs.sparkSession
-    schema = T.StructType([docs.schema[key], *FOUND.fields])
-
-    def one(index) -> DataFrame:
-        def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offsets = K.text_bytes(batch.column(1))
-                for i, j in K.pieces(offsets):
-                    words, hit, items = index.value.scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    spans: list[list] = [[] for _ in range(j - i)]
-                    at = words.docs()
-                    hit_from = np.flatnonzero(hit)
-                    if len(hit_from):
-                        edges = np.flatnonzero((np.diff(hit_from) > 1) | (np.diff(at[hit_from]) > 0))
-                        for a, b in zip(hit_from[np.concatenate(([0], edges + 1))].tolist(), hit_from[np.concatenate((edges, [len(hit_from) - 1]))].tolist(), strict=True):
-                            d = int(at[a])
-                            lead, base = int(words.offsets[d]), int(offsets[i + d] - offsets[i])
-                            spans[d].append({"first": a - lead, "last": b - lead, "start": int(words.starts[a]) - base, "end": int(words.ends[b]) - base})
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(i, j - i), pa.array(np.diff(words.offsets), pa.int64()), pa.array(spans, _HITS), pa.array([sorted(items.get(d, ())) for d in range(j - i)], pa.list_(pa.string()))],
-                        [key, "n_words", "hits", "items"],
-                    )
-
-        return docs.select(F.col(key), F.col(text)).mapInArrow(scan, schema)
-
-    found = [one(spark.sparkContext.broadcast(index)) for index in _parts(benchmark, item, text, window, max_windows) if len(index)]
-    if len(found) < 2:
-        return found[0] if found else one(spark.sparkContext.broadcast(Index([], window)))
-    every = found[0].withColumn("_row", F.lit(0))
-    for x in found[1:]:
-        every = every.unionByName(x.withColumn("_row", F.lit(0)))
-    # The parts of a document have the same n_words; rows that repeat a key are the same document.
-    merged = every.groupBy(key).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+def _indexes(docs: DataFrame, benchmark: DataFrame, item: str, text: str, window: int, most: int) -> list:
+    """The broadcast indexes of all parts, at least one."""
+    context = docs.sparkSession.sparkContext
+    return [context.broadcast(index) for index in _parts(benchmark, item, text, window, most) if len(index)] or [context.broadcast(Index([], window))]
+
+
+def _scanned(docs: DataFrame, key: str, text: str, index) -> DataFrame:
+    """For each row: key, and what one part finds."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.text_bytes(batch.column(1))
+            for i, j in K.pieces(offsets):
+                words, hit, items = index.value.scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                spans: list[list] = [[] for _ in range(j - i)]
+                at = words.docs()
+                hit_from = np.flatnonzero(hit)
+                if len(hit_from):
+                    edges = np.flatnonzero((np.diff(hit_from) > 1) | (np.diff(at[hit_from]) > 0))
+                    for a, b in zip(hit_from[np.concatenate(([0], edges + 1))].tolist(), hit_from[np.concatenate((edges, [len(hit_from) - 1]))].tolist(), strict=True):
+                        d = int(at[a])
+                        lead, base = int(words.offsets[d]), int(offsets[i + d] - offsets[i])
+                        spans[d].append({"first": a - lead, "last": b - lead, "start": int(words.starts[a]) - base, "end": int(words.ends[b]) - base})
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), pa.array(np.diff(words.offsets), pa.int64()), pa.array(spans, _HITS), pa.array([sorted(items.get(d, ())) for d in range(j - i)], pa.list_(pa.string()))],
+                    [key, "n_words", "hits", "items"],
+                )
+
+    return docs.select(F.col(key), F.col(text)).mapInArrow(scan, T.StructType([docs.schema[key], *FOUND.fields]))
+
+
+def _united(every: list[DataFrame], by: str) -> DataFrame:
+    """What several parts find, united by a column; runs that meet are one."""
+    merged = functools.reduce(DataFrame.unionByName, every).groupBy(by).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     united = F.expr(
         "aggregate(array_sort(hits), cast(array() as array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>), (done, x) -> "
         "if(size(done) > 0 and element_at(done, -1).last + 1 >= x.first, "
         "concat(slice(done, 1, size(done) - 1), array(named_struct('first', element_at(done, -1).first, 'last', greatest(element_at(done, -1).last, x.last), 'start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, x.end)))), "
         "concat(done, array(x))))"
     )
-    return merged.withColumn("hits", united).select(*schema.names)
+    return merged.withColumn("hits", united)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """For each row of docs: key, n_words, hits (runs of hit words: first and last word, start and end byte) and items (names in order)."""
+    indexes = _indexes(docs, benchmark, item, text, window, max_windows)
+    if len(indexes) < 2:
+        return _scanned(docs, key, text, indexes[0])
+    # The parts of a document have the same n_words; rows that repeat a key are the same document.
+    return _united([_scanned(docs, key, text, x) for x in indexes], key)
 
 
 def digest(found: DataFrame, *, key: str = "doc_id") -> DataFrame:
@@ -148,42 +159,68 @@ def digest(found: DataFrame, *, key: str = "doc_id") -> DataFrame:
     return found.select(key, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, most_hit: float = 0.5) -> DataFrame:
+def _stripped(raw: bytes, spans: Iterable[tuple[int, int]]) -> str:
+    """The text without these spans of bytes."""
+    left, done = [], 0
+    for start, end in spans:
+        left.append(raw[done:start])
+        done = end
+    return b"".join([*left, raw[done:]]).decode()
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, most_hit: float = 0.5, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs without the hit passages; a document with more than most_hit of its words hit goes as a whole.
 
-    All other rows and columns stay as they are. One scan, no shuffle, for a benchmark within MAX_WINDOWS windows; a larger
-    one takes a scan for each part, where each part removes its own passages from the original text's words that are left.
+    All other rows and columns stay as they are. One scan, no shuffle, for a benchmark within max_windows windows. For a larger
+    one, each part scans the original texts, and the rows are cut once, by the hits of all parts; they are joined with these by number.
     """
-    spark = docs.sparkSession
-    out = docs
     place = docs.columns.index(text)
-    for index in _parts(benchmark, item, text, window, MAX_WINDOWS):
-
-        def strip(batches: Iterable[pa.RecordBatch], index=spark.sparkContext.broadcast(index)) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offsets = K.text_bytes(batch.column(place))
-                for i, j in K.pieces(offsets):
-                    part = data[offsets[i] : offsets[j]]
-                    words, hit, items = index.value.scan(part, offsets[i : j + 1] - offsets[i])
-                    rows = batch.slice(i, j - i)
-                    if items or hit.any():
-                        at, texts, keep = words.docs(), rows.column(place).to_pylist(), np.ones(j - i, bool)
-                        for d in np.unique(at[hit]).tolist():
-                            own = hit[words.offsets[d] : words.offsets[d + 1]]
-                            if own.mean() > most_hit:
-                                keep[d] = False
-                                continue
-                            raw, left, done = texts[d].encode(), [], 0
-                            base = int(offsets[i + d] - offsets[i])
-                            for a, b in zip(*_runs(own), strict=True):
-                                left.append(raw[done : int(words.starts[words.offsets[d] + a]) - base])
-                                done = int(words.ends[words.offsets[d] + b]) - base
-                            texts[d] = b"".join([*left, raw[done:]]).decode()
-                        rows = rows.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type)).filter(pa.array(keep))
-                    yield rows
-
-        out = out.mapInArrow(strip, docs.schema)
-    return out
+    schema = docs.schema
+    indexes = _indexes(docs, benchmark, item, text, window, max_windows)
+    if len(indexes) > 1:
+        return _cut(docs, place, indexes, most_hit)
+
+    def strip(batches: Iterable[pa.RecordBatch], index=indexes[0]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.text_bytes(batch.column(place))
+            for i, j in K.pieces(offsets):
+                part = data[offsets[i] : offsets[j]]
+                words, hit, items = index.value.scan(part, offsets[i : j + 1] - offsets[i])
+                rows = batch.slice(i, j - i)
+                if items or hit.any():
+                    at, texts, keep = words.docs(), rows.column(place).to_pylist(), np.ones(j - i, bool)
+                    for d in np.unique(at[hit]).tolist():
+                        own = hit[words.offsets[d] : words.offsets[d + 1]]
+                        if own.mean() > most_hit:
+                            keep[d] = False
+                            continue
+                        base = int(offsets[i + d] - offsets[i])
+                        texts[d] = _stripped(texts[d].encode(), ((int(words.starts[words.offsets[d] + a]) - base, int(words.ends[words.offsets[d] + b]) - base) for a, b in zip(*_runs(own), strict=True)))
+                    rows = rows.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type)).filter(pa.array(keep))
+                yield rows
+
+    return docs.mapInArrow(strip, schema)
+
+
+def _cut(docs: DataFrame, place: int, indexes: list, most_hit: float) -> DataFrame:
+    """docs cut by the hits of several parts. Columns go by position, whatever their names."""
+    schema, names = docs.schema, [f"_c{i}" for i in range(len(docs.columns))]
+    numbered = materialize(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    united = _united([_scanned(numbered, "_row", names[place], x).where("size(hits) > 0") for x in indexes], "_row")
+    n_hit = F.expr("aggregate(hits, 0L, (n, x) -> n + x.last - x.first + 1)")
+    found = united.select("_row", (n_hit / F.col("n_words") > most_hit).alias("_gone"), F.expr("transform(hits, x -> x.start)").alias("_starts"), F.expr("transform(hits, x -> x.end)").alias("_ends"))
+
+    def strip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i) for i in range(len(names))]
+            texts = columns[place].to_pylist()
+            for d, (starts, ends) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)):
+                if starts:
+                    texts[d] = _stripped(texts[d].encode(), zip(starts, ends, strict=True))
+            columns[place] = pa.array(texts, columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return numbered.join(found, "_row", "left").where("not coalesce(_gone, false)").select(*names, "_starts", "_ends").mapInArrow(strip, schema)
 
 
 def items_digest(names: Iterable[str]) -> str:

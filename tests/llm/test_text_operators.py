@@ -337,6 +337,25 @@ def test_decontaminate_removes_passages(spark):
     assert decontam.hits(docs, nothing).where("size(hits) > 0").count() == 0 and decontam.hits(frame(spark, []), items).count() == 0
 
 
+PART_ITEMS = [(1, " ".join(f"p{i}" for i in range(1, 11))), (2, " ".join(f"p{i}" for i in range(6, 16))), (3, " ".join(f"q{i}" for i in range(10))), (4, "left right"), (None, None)]
+PART_TEXTS = [
+    "before it " * 20 + " ".join(f"P{i}" for i in range(1, 16)) + ", after é " * 20, " ".join(f"p{i}" for i in range(1, 11)) + " x y z u v w m n o k l j h " + " ".join(f"q{i}" for i in range(10)),
+    "some words here left " + " ".join(f"q{i}" for i in range(10)) + " right and as many clean words again as it takes to stay", None, "", "clean",
+]
+
+
+def test_decontaminate_does_not_depend_on_parts(spark):
+    items = spark.createDataFrame(PART_ITEMS, "item_id long, text string")
+    texts = PART_TEXTS + CONTAMINATED
+    docs = frame(spark, texts, [None if i % 4 == 0 else i % 3 for i in range(len(texts))]).repartition(3)
+    whole, parts = (sorted(map(str, decontam.decontaminate(docs, items, max_windows=n).collect())) for n in (decontam.MAX_WINDOWS, 1))
+    assert parts == whole and len(whole) == len(texts) - 1
+    left = {r.text for r in decontam.decontaminate(docs, items, max_windows=1).collect()}
+    assert "before it " * 20 + ", after é " * 20 in left and PART_TEXTS[1] not in left
+    assert any(t and t.startswith("some words here left  right and") for t in left)
+    assert decontam.decontaminate(docs, items, max_windows=1).schema == docs.schema
+
+
 # -- 6 and 8 trained scores
 
 
