@@ -149,8 +149,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: st
     indexes = _indexes(docs, benchmark, item, text, window, max_windows)
     if len(indexes) < 2:
         return _scanned(docs, key, text, indexes[0])
-    # The parts of a document have the same n_words; rows that repeat a key are the same document.
-    return _united([_scanned(docs, key, text, x) for x in indexes], key)
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    numbered = materialize(rows, "numbered").select(F.struct("_row", "_key").alias("_id"), "_text")
+    first, *others = [_scanned(numbered, "_id", "_text", x) for x in indexes]
+    return _united([first, *(x.where("size(hits) > 0") for x in others)], "_id").select(F.col("_id._key").alias(key), "n_words", "hits", "items")
 
 
 def digest(found: DataFrame, *, key: str = "doc_id") -> DataFrame:

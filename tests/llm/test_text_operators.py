@@ -356,6 +356,16 @@ def test_decontaminate_does_not_depend_on_parts(spark):
     assert decontam.decontaminate(docs, items, max_windows=1).schema == docs.schema
 
 
+@pytest.mark.parametrize("most", [decontam.MAX_WINDOWS, 1])
+def test_hits_have_a_row_for_each_row(spark, most):
+    items = spark.createDataFrame(PART_ITEMS, "item_id long, text string")
+    texts = PART_TEXTS + PART_TEXTS[::-1]
+    docs = frame(spark, texts, [None if i % 2 == 0 else i % 3 for i in range(len(texts))])
+    found = decontam.digest(decontam.hits(docs, items, max_windows=most))
+    want = [(None if i % 2 == 0 else i % 3, n, hit, len(names), decontam.items_digest(names), hit > 0) for i, t in enumerate(texts) for n, hit, names in [hit_words(t, PART_ITEMS)]]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+
+
 # -- 6 and 8 trained scores
 
 
