@@ -4,10 +4,16 @@ Patterns (leftmost, not overlapping per kind; a match that fails its condition i
 assign (a name like password or token, a sign, and a value of 8 characters or more), access (AKIA keys of 16 characters
 or more), hex (32 lower-case hexadecimal digits or more).
 
-The efficiency test looks at runs of [A-Za-z0-9+/_=-] of MIN_RUN characters or more that mix letters and digits: ordinary
-words take few tokens, random strings many. A run whose characters per token lie below EFFICIENCY is reported as
-`random`, unless a pattern's match already covers it or it is a known digest or identifier: a hexadecimal digest of a usual
-length, a UUID, or a run that only repeats one character pair.
+The efficiency test looks at runs of [A-Za-z0-9+/_=-] of MIN_RUN characters or more, without what a pattern's match covers:
+ordinary words take few tokens, random strings many. Of each run, in this order, `random` is
+- all of it, if it has LONG_RUN characters or more and a digit, not only digits, and fewer than EFFICIENCY characters a token;
+- all of it, or else the stretches of its tokens that a linear scan finds (maximal sums of EFFICIENCY less each token's
+  letters and digits), or else parts between the signs +/_=-, if they look random by their letters and digits alone: MIN_RUN
+  characters or more, 3 or more between signs on average, and fewer than EFFICIENCY letters and digits a token. Without a digit,
+  one with the case of ordinary words (lower, upper, or first letters upper) has to lie below WORDLIKE, and is no stretch. One
+  without a letter isn't looked at.
+A stretch is widened to whole parts where these look random too. Known digests and identifiers are never reported alone and
+end a stretch: a hexadecimal digest of a usual length, a UUID, or a part that only repeats one character pair.
 
 Positions are code points, ends exclusive. Defined cases: null and empty texts have no spans; whole texts are scanned in
 linear time whatever their length; repeated rows are scanned alike; other columns play no part.
@@ -17,7 +23,9 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +41,19 @@ UUID = re.compile(rb"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 
-MIN_RUN = 16
+MIN_RUN = 12
+#: From this length, runs with digits are judged whole with their signs.
+LONG_RUN = 16
 #: Characters per token below which a run counts as random.
 EFFICIENCY = 2.2
+#: The same for letters in the case of ordinary words: these have about 2 where they are rare, random ones 1.6.
+WORDLIKE = 2.0
 #: Lengths in hexadecimal digits of the usual digests: CRC32 doubled, MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGESTS = (16, 32, 40, 56, 64, 96, 128)
 #: Characters of a run that are encoded at a time: bounds the work for one token stretch.
 STRETCH = 256
+#: Parts from this length can be known ones.
+KNOWN_LEAST = min(DIGESTS)
 
 HEX = np.zeros(256, bool)
 HEX[[*b"0123456789abcdef"]] = True
@@ -95,6 +109,100 @@ def known(run: bytes) -> bool:
     return len(set(plain)) <= 2
 
 
+PART = re.compile(rb"[A-Za-z0-9]+")
+#: Letters in the case of ordinary words.
+WORD_CASE = re.compile(rb"[A-Z]?[a-z]*|[A-Z]+")
+_LETTER, _DIGIT = re.compile(rb"[A-Za-z]"), re.compile(rb"[0-9]")
+
+
+def _stretches(scores: list[float]) -> list[tuple[int, int]]:
+    """First and last of all maximal scoring segments, in linear time (Ruzzo and Tompa 1999)."""
+    held: list[tuple[float, float, int, int, int]] = []  # (sum before, sum after, first, last, the latest with a lower sum before)
+    total = 0.0
+    for at, score in enumerate(scores):
+        low, first = total, at
+        total += score
+        if score <= 0:
+            continue
+        j = len(held) - 1
+        while True:
+            while j >= 0 and held[j][0] >= low:
+                j = held[j][4]
+            if j < 0 or held[j][1] >= total:
+                break
+            low, first, back = held[j][0], held[j][2], held[j][4]
+            del held[j:]
+            j = back
+        held.append((low, total, first, at, j))
+    return [(first, last) for _, _, first, last, _ in held]
+
+
+def random_stretches(run: bytes, lengths: list[int], min_run: int = MIN_RUN, efficiency: float = EFFICIENCY) -> list[tuple[int, int]]:
+    """Starts and ends of what looks random in a run, given the lengths of its tokens; in order, not overlapping."""
+    if run.isalpha() and WORD_CASE.fullmatch(run):
+        return [(0, len(run))] if len(run) < WORDLIKE * len(lengths) and not known(run) else []
+    digits = len(_DIGIT.findall(run))
+    if digits == len(run) or known(run):
+        return []
+    if len(run) >= LONG_RUN and digits and len(run) < efficiency * len(lengths):
+        return [(0, len(run))]
+    ends = list(accumulate(lengths))
+    starts = [0, *ends[:-1]]
+    plain = [run[s : s + 1].isalnum() for s in starts]  # a token has signs only or none
+    chars = list(accumulate((n if p else 0 for n, p in zip(lengths, plain, strict=True)), initial=0))
+    tokens = list(accumulate(plain, initial=0))
+    parts = [m.span() for m in PART.finditer(run)]
+    if not parts:
+        return []
+
+    def looks(s: int, e: int, stretch: bool = False) -> bool:
+        i, j = bisect_left(starts, s), bisect_left(ends, e) + 1
+        own, n = chars[j] - chars[i], tokens[j] - tokens[i]
+        if e - s < min_run or own >= efficiency * n:
+            return False
+        text = run[s:e]
+        pieces = PART.findall(text)
+        if own < 3 * len(pieces) or not _LETTER.search(text) or known(text):
+            return False
+        return bool(_DIGIT.search(text)) or not all(map(WORD_CASE.fullmatch, pieces)) or (not stretch and own < WORDLIKE * n)
+
+    first, last = parts[0][0], parts[-1][1]
+    if looks(first, last):
+        return [(first, last if run[last:].strip(b"=") else len(run))]
+    taken = np.zeros(len(run), bool)  # by known ones, and then by what is found
+    for a, z in [*(m.span() for m in UUID.finditer(run)), *(x for x in parts if x[1] - x[0] >= KNOWN_LEAST and known(run[slice(*x)]))]:
+        taken[a:z] = True
+    scores = [-1e9 if p and taken[s] else efficiency - n if p else 0.0 for s, n, p in zip(starts, lengths, plain, strict=True)]
+    out: list[tuple[int, int]] = []
+    firsts, lasts = [x[0] for x in parts], [x[1] for x in parts]
+    tried = None
+    for i, j in _stretches(scores):
+        s, e = starts[i], ends[j]
+        wide = firsts[bisect_right(firsts, s) - 1], lasts[bisect_left(lasts, e)]
+        for a, z in ((s, e),) if wide == tried else (wide, (s, e)):
+            if z - a >= min_run and not taken[a:z].any() and looks(a, z, True):
+                out.append((a, z))
+                taken[a:z] = True
+                break
+        tried = wide
+    for s, e in parts:
+        if e - s >= min_run and not taken[s:e].any() and looks(s, e):
+            out.append((s, e))
+    return sorted(out)
+
+
+def _uncovered(a: int, b: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of a range without these."""
+    out = []
+    for x, z in sorted(covered):
+        if x > a:
+            out.append((a, min(x, b)))
+        a = max(a, z)
+        if a >= b:
+            return out
+    return [*out, (a, b)]
+
+
 def _patterns(text: bytes) -> list[tuple[int, int, int]]:
     """The matches of assign and access: (start, kind, end) in bytes."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= LEAST_VALUE]
@@ -118,6 +226,7 @@ def spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabular
     shipped = docs.sparkSession.sparkContext.broadcast({"ranks": vocabulary(vocabulary_path), "pattern": pattern, "id": f"{vocabulary_path}|{pattern}"})
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = {rank: len(token) for token, rank in shipped.value["ranks"].items()}
         for batch in batches:
             data, offsets = K.text_bytes(batch.column(1))
             for i, j in K.pieces(offsets):
@@ -131,17 +240,18 @@ def spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabular
                     d = int(np.searchsorted(cut, s, "right")) - 1
                     found[d].append((int(s - cut[d]), 2, int(e - cut[d])))
                 starts, ends = runs(part, cut, RUN, min_run)
-                digits = np.concatenate(([0], np.cumsum((part >= 0x30) & (part <= 0x39))))
-                mixed = (digits[ends] > digits[starts]) & (digits[ends] - digits[starts] < ends - starts)
-                for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
+                for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                     d = int(np.searchsorted(cut, s, "right")) - 1
-                    a, b, run = int(s - cut[d]), int(e - cut[d]), raw[s:e]
-                    if any(x <= a and b <= z or a <= x and z <= b for x, _, z in found[d]) or known(run):
-                        continue
-                    word = run.decode()
-                    n = sum(len(_encoder(shipped).encode_ordinary(word[k : k + STRETCH])) for k in range(0, len(word), STRETCH))
-                    if len(word) < efficiency * n:
-                        found[d].append((a, 3, b))
+                    a, b = int(s - cut[d]), int(e - cut[d])
+                    covered = [(x, z) for x, k, z in found[d] if k != 3 and x < b and a < z]
+                    for x, z in _uncovered(a, b, covered) if covered else [(a, b)]:
+                        if x > a:  # signs after a match
+                            x = z - len(raw[s + x - a : s + z - a].lstrip(b"+/_=-"))
+                        if z - x >= min_run:
+                            run = raw[s + x - a : s + z - a]
+                            word, encoder = run.decode(), _encoder(shipped)
+                            lengths = [sizes[t] for k in range(0, len(word), STRETCH) for t in encoder.encode_ordinary(word[k : k + STRETCH])]
+                            found[d] += [(x + p, 3, x + q) for p, q in random_stretches(run, lengths, min_run, efficiency)]
                 out = []
                 for d, own in enumerate(found):
                     if own:
