@@ -286,7 +286,18 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
 
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest key; all columns. Rows without a key stay."""
-    found = near_duplicates(docs.select(key, text), key=key, text=text)
-    gone = found.where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    """One row of each group of near-duplicates, one with the smallest key (rows without a key come last); all columns.
+
+    Rows are told by number, so rows that repeat a key or have none are documents like others; rows without words all stay.
+    docs needs to read the same each time.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    found = near_duplicates(rows.select(row, text), key=row, text=text).select(F.col(row).alias("_id"), F.col("component_id").alias("_component"))
+    keys = rows.select(F.col(row).alias("_number"), F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row")).alias("_order"))
+    joined = materialize(found.join(keys, found["_id"] == keys["_number"]).select("_id", "_component", "_order"), "groups_of_rows")
+    first = joined.groupBy("_component").agg(F.min("_order").alias("_first"))
+    gone = joined.join(first, "_component").where(F.col("_id") != F.col("_first.row")).select(F.col("_id").alias("_gone"))
+    return rows.join(gone, rows[row] == gone["_gone"], "left_anti").drop(row)

@@ -136,6 +136,15 @@ def test_deduplicate_keeps_the_first_of_each_group(spark, tmp_path, texts):
     assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_deduplicate_keeps_one_of_rows_without_or_with_equal_keys(spark, tmp_path):
+    one, two, three = (prose(random.Random(n), 60) for n in range(3))
+    rows = [(4, one), (4, one), (None, one), (None, two), (None, two), (7, three), (7, one), (2, three), (None, None), (None, None), (3, ""), (3, "")]
+    docs = filed(spark, tmp_path, [t for _, t in rows], [i for i, _ in rows])
+    kept = sorted(((r.doc_id, r.text) for r in neardup.deduplicate(docs).collect()), key=str)
+    assert kept == sorted([(4, one), (None, two), (2, three), (None, None), (None, None), (3, ""), (3, "")], key=str)
+    assert neardup.deduplicate(docs).columns == docs.columns
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
