@@ -1,4 +1,4 @@
-"""From raw documents to token ids: quality, near-dedup, decontamination, personal data, encoding.
+"""From raw documents to token ids: quality, near-dedup, decontamination, personal data, encoding and decoding.
 
 Each stage is (name, function); the function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs. All stages but the last return the columns of documents, with n_chars kept true to the text.
@@ -45,9 +45,10 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian 32-bit integers) of every document."""
+    """Token ids (little-endian 32-bit integers) of every document, and the digests of these and of their decoding."""
     keep = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    return bpe.encode(docs, keep=keep).withColumn("ids_sha256", F.sha2("ids", 256))
+    done = bpe.encode(docs, keep=keep, decoded=True)
+    return done.withColumns({"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2(F.col("decoded").cast("binary"), 256)}).drop("decoded")
 
 
 STAGES = [

@@ -1,5 +1,6 @@
 """The embedding join against brute force, the registered queries against SQL, and the pipeline against its stages."""
 
+import hashlib
 import os
 
 import duckdb
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from matrixloom.llm import embdedup, neardup, queries
+from matrixloom.llm import bpe, embdedup, neardup, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -99,6 +100,16 @@ def test_pipeline_on_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 3
 
 
+def test_last_stage_decodes(spark, tmp_path):
+    texts = ["Plain words, and 12 numbers.", "", None, "é 日本  語"]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    got = {r.doc_id: r for r in corpus_pipeline.encode(spark, docs, SF).collect()}
+    want = {r.doc_id: r for r in bpe.decode(bpe.encode(docs, keep=("doc_id",))).collect()}
+    for i in range(len(texts)):
+        assert got[i].decoded_sha256 == hashlib.sha256(want[i].decoded.encode()).hexdigest() and bytes(got[i].ids) == bytes(want[i].ids)
+
+
 def test_stages_are_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "encoding"]
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" in queries.QUERIES and sum(q.startswith("op") for q in queries.QUERIES) == 10
