@@ -147,16 +147,22 @@ def learn(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([row.tobytes() for row in x], pa.binary()), batch.column(2).slice(i, j - i)], ["key", "x", "grade"])
 
     schema = T.StructType([T.StructField("key", rows.schema["_key"].dataType), T.StructField("x", T.BinaryType()), T.StructField("grade", T.IntegerType())])
-    table = rows.mapInArrow(take, schema).toArrow()  # at most `sample` rows of DIMS floats
+    # The sample, at most `sample` rows of DIMS floats, meets in one task, and only the model comes to the driver.
+    found = rows.mapInArrow(take, schema).repartition(1).mapInArrow(_fitted, "weights binary, thresholds binary").first()
+    return Model(*(np.frombuffer(x, np.float64).copy() for x in found))
+
+
+def _fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fits to all rows (key, x, grade), in the order of their keys, features and grades, to one row: weights and thresholds."""
+    table = pa.Table.from_batches([x for x in batches if x.num_rows] or [pa.RecordBatch.from_pylist([], pa.schema([("key", pa.int64()), ("x", pa.binary()), ("grade", pa.int32())]))])
     if not table.num_rows:
-        return Model(np.zeros(DIMS), np.full(1, -50.0))
-    order = pc.sort_indices(table["key"]).to_numpy()
-    chunks = [x for x in table["x"].chunks if len(x)]  # rows have equal sizes, so their bytes are the matrix
-    x = np.concatenate([np.frombuffer(c.buffers()[2], np.float32)[c.offset * DIMS : (c.offset + len(c)) * DIMS].reshape(-1, DIMS) for c in chunks])
-    grades = np.asarray(table["grade"]).astype(np.int64)
-    del table, chunks
-    pa.default_memory_pool().release_unused()
-    return fit(x[order], grades[order])
+        model = Model(np.zeros(DIMS), np.full(1, -50.0))
+    else:
+        order = pc.sort_indices(table, [(name, "ascending") for name in ("key", "grade", "x")]).to_numpy()
+        chunks = table["x"].chunks  # rows have equal sizes, so their bytes are the matrix
+        x = np.concatenate([np.frombuffer(c.buffers()[2], np.float32)[c.offset * DIMS : (c.offset + len(c)) * DIMS].reshape(-1, DIMS) for c in chunks])
+        model = fit(x[order], np.asarray(table["grade"]).astype(np.int64)[order])
+    yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (model.weights, model.thresholds)], ["weights", "thresholds"])
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
