@@ -17,7 +17,7 @@ several tasks of at most SHARE members each.
 
 Words are what lies between ASCII white space, A-Z in lower case; the set holds each 5 consecutive words, or the whole sequence of
 fewer. Defined cases: null, empty and word-free texts have the empty set and link with nothing; rows that repeat a doc_id are
-one document (each row is returned; where their texts differ, any of them may stand for it); rows with a null doc_id are returned with their set
+one document with all their texts, which it connects (each row is returned); rows with a null doc_id are returned with their set
 size, no component, and not kept; an empty table gives an empty result; extra columns play no part.
 """
 
@@ -29,10 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import kernels as K
-from .components import components
+from .components import components, extended
 from .shared import materialize, only_ids, release
 
 SHINGLE = 5
@@ -105,7 +104,7 @@ def bands(sketch: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id and text to doc_id, n_shingles, two hashes of the set, band keys, and coordinates cut to a byte."""
+    """id and text to id, n_shingles, two hashes of the set, band keys, and coordinates cut to a byte."""
     for batch in batches:
         data, offsets = K.text_bytes(batch.column(1))
         for i, j in K.pieces(offsets, K.PIECE // 2, most=2048):
@@ -142,31 +141,28 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (pivot, id) that link, as (a, b); written to the shared folder."""
     pairs = materialize(pairs, "pairs")
-    counts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    counts = materialize(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")), "shares")
     dealt = pairs.join(counts, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"), "id")
     heads = counts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("pivot").alias("id"))
-    wanted = dealt.union(heads)
-    ids = pairs.select("id").union(pairs.select("pivot")).distinct()
-    rows = wanted.join(only_ids(texts, ids, "id"), "id").select("pivot", "share", "id", "text", (F.col("id") != F.col("pivot")).alias("member"))
+    ids = materialize(pairs.select("id").union(pairs.select("pivot")).distinct(), "ids")
+    rows = dealt.union(heads).join(only_ids(texts, ids, "id"), "id").select("pivot", "share", "id", "text", (F.col("id") != F.col("pivot")).alias("member"))
     n = max(8, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sorted_rows = rows.repartition(n, "pivot", "share").sortWithinPartitions("pivot", "share", "member", "id")
     return materialize(sorted_rows.mapInArrow(_verify, "a long, b long"), "links")
 
 
-def _pivots(buckets: DataFrame, groups: DataFrame | None, last: bool) -> DataFrame:
-    """(pivot, id): each member with its bucket's least, or greatest, member by hash, where they aren't in one component yet."""
-    order = F.struct(F.xxhash64("id"), F.col("id").alias("id"), F.col("c") if groups is not None else F.col("id").alias("c"))
-    members = buckets if groups is None else _grouped(buckets, groups)
+def _pivots(members: DataFrame, last: bool) -> DataFrame:
+    """(pivot, id): each member with its bucket's least, or greatest, member by hash, where they aren't in one component (c) yet."""
+    order = F.struct(F.xxhash64("id"), "id", "c")
     pivot = members.groupBy("key").agg((F.max if last else F.min)(order).alias("p"), F.count("*").alias("n")).where("n > 1").select("key", F.col("p.id").alias("pivot"), F.col("p.c").alias("pc"))
-    met = members.join(pivot, "key").where("id <> pivot")
-    return (met if groups is None else met.where("c <> pc")).select("pivot", "id").distinct()
+    return members.join(materialize(pivot, "pivots"), "key").where("c <> pc").select("pivot", "id").distinct()
 
 
 def _grouped(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """The buckets' members with their component, without buckets that lie in one component."""
-    members = buckets.join(groups.select("id", F.col("component_id").alias("g")), "id", "left").select("key", "band", "id", F.coalesce("g", "id").alias("c"))
+    """The buckets' members with their component, without buckets that lie in one component. Written to the shared folder."""
+    members = materialize(buckets.join(groups.select("id", F.col("component_id").alias("g")), "id", "left").select("key", "band", "id", F.coalesce("g", "id").alias("c")), "members")
     mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    return members.join(mixed, "key")
+    return materialize(members.join(materialize(mixed, "mixed"), "key"), "open")
 
 
 def _links_with(pivot_set: np.ndarray, own: np.ndarray) -> bool:
@@ -236,68 +232,93 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
-def _remaining(buckets: DataFrame, groups: DataFrame, sketched: DataFrame, texts: DataFrame) -> DataFrame:
+def _remaining(members: DataFrame, sketched: DataFrame, texts: DataFrame) -> DataFrame:
     """The links (a, b) that still join components: between members of different components in a bucket.
 
     Pairs inside a bucket's largest component need no look, so only members of its other components, the minority, meet all members. Both
     are dealt to blocks of about BLOCK, and a block of the minority meets each block of all: rows grow with the bucket times the
     blocks of its minority, mostly one. Pairs are looked at where they meet, and only links leave.
     """
-    members = materialize(_grouped(buckets, groups), "open")
     sizes = members.groupBy("key", "c").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top"))
     blocks = largest.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"), F.greatest(F.ceil((F.col("n") - F.col("top.n")) / BLOCK), F.lit(1)).cast("int").alias("ko"), F.col("top.c").alias("top"))
-    placed = members.join(blocks, "key").select("key", "band", "id", "c", "k", "ko", (F.col("c") != F.col("top")).alias("small"), F.xxhash64("id", F.lit(5)).alias("m"))
+    placed = members.join(materialize(blocks, "blocks"), "key").select("key", "band", "id", "c", "k", "ko", (F.col("c") != F.col("top")).alias("small"), F.xxhash64("id", F.lit(5)).alias("m"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     everyone = placed.select("key", "band", F.pmod("m", "k").cast("int").alias("x"), each("ko").alias("y"), F.lit(0).alias("side"), "id", "c", "small")
     minority = placed.where("small").select("key", "band", each("k").alias("x"), F.pmod("m", "ko").cast("int").alias("y"), F.lit(1).alias("side"), "id", "c", "small")
-    ids = members.select("id").distinct()
-    known = only_ids(sketched.select("id", "cells", "bands"), ids, "id").join(only_ids(texts, ids, "id"), "id").dropDuplicates(["id"])
+    ids = materialize(members.select("id").distinct(), "ids")
+    known = only_ids(sketched.select("id", "cells", "bands"), ids, "id").join(only_ids(texts, ids, "id"), "id")
     rows = everyone.union(minority).join(known, "id")
-    n = max(8, int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(8, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return materialize(rows.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_meet, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: key, n_shingles, component_id (the smallest key reachable by links) and kept (whether that is its own key)."""
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    schema = T.StructType([T.StructField("id", T.LongType()), *T._parse_datatype_string("n_shingles long, a long, b long, bands array<long>, cells binary").fields])
-    sketched = materialize(texts.mapInArrow(_sketch, schema), "sketches")
-    classes = sketched.where("id is not null and n_shingles > 0").groupBy("a", "b").agg(F.min("id").alias("rep"))
-    member = materialize(sketched.where("id is not null and n_shingles > 0").select("id", "a", "b").join(classes, ["a", "b"]).select("id", "rep"), "classes")
-    reps = sketched.join(member.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+def _groups(sketched: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, component_id) for each row (by number) that is linked with another. sketched and texts are written tables with a row's number as id.
+
+    Rows with equal sets are one class, for which the one with the least number stands; the classes' rows follow it in the end.
+    """
+    spark = sketched.sparkSession
+    worded = sketched.where("n_shingles > 0")
+    classes = materialize(worded.groupBy("a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
+    copies = materialize(worded.select("id", "a", "b").join(classes, ["a", "b"]).where("id <> rep").select("id", "rep"), "copies")
+    reps = worded.join(copies.select("id"), "id", "left_anti")
     keyed = reps.select("id", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = materialize(keyed.join(shared, "key"), "buckets")
-    release(docs.sparkSession)
-    found = _confirmed(_pivots(buckets, None, False), texts)
-    groups = materialize(components(found, "a", "b"), "groups")
-    release(docs.sparkSession)
-    found = found.union(_confirmed(_pivots(buckets, groups, True), texts))
-    groups = materialize(components(found, "a", "b"), "groups")
-    release(docs.sparkSession)
-    found = found.union(_remaining(buckets, groups, reps, texts))
-    # Copies link to their representative; a doc_id with several rows has several sets, which its id connects.
-    every = found.union(member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    groups = components(every, "a", "b").withColumnRenamed("id", "_id")
-    out = sketched.select("id", "n_shingles").join(groups, sketched["id"] == groups["_id"], "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").cast(docs.schema[key].dataType).alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    buckets = materialize(keyed.join(materialize(shared, "shared"), "key"), "buckets")
+    release(spark)
+    groups = components(_confirmed(_pivots(buckets.withColumn("c", F.col("id")), False), texts), "a", "b")
+    release(spark)
+    groups = extended(groups, _confirmed(_pivots(_grouped(buckets, groups), True), texts), "a", "b")
+    release(spark)
+    groups = extended(groups, _remaining(_grouped(buckets, groups), worded, texts), "a", "b")
+    release(spark)
+    of = groups.select(F.col("id").alias("rep"), F.col("component_id").alias("_c"))
+    followed = copies.join(of, "rep", "left").select("id", F.coalesce("_c", "rep").alias("component_id"))
+    heads = copies.select(F.col("rep").alias("id")).distinct().join(groups.select("id"), "id", "left_anti").select("id", F.col("id").alias("component_id"))
+    return materialize(groups.union(followed).union(heads), "groups")
+
+
+def _sketched(texts: DataFrame) -> DataFrame:
+    """The sketches of the texts of a table (id, text), written to the shared folder."""
+    return materialize(texts.mapInArrow(_sketch, "id long, n_shingles long, a long, b long, bands array<long>, cells binary"), "sketches")
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each row: key, n_shingles, component_id (the smallest key reachable by links) and kept (whether that is its own key).
+
+    Inside, rows go by numbers that are given and written once.
+    """
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("key"), F.col(text).alias("text")), "numbered")
+    texts = numbered.select("id", "text")
+    sketched = _sketched(texts)
+    nameless = numbered.where("key is null").select("id")
+    own = sketched if nameless.isEmpty() else materialize(sketched.join(nameless, "id", "left_anti"), "sketches")
+    groups = _groups(own, texts)
+    keyed = numbered.select("id", "key")
+    repeated = materialize(keyed.where("key is not null").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    if not repeated.isEmpty():
+        groups = extended(groups, materialize(keyed.join(repeated, "key").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")), "links"), "a", "b")
+    placed = materialize(keyed.join(groups, "id", "left").select("id", "key", F.coalesce("component_id", "id").alias("c")), "placed")
+    least = materialize(placed.groupBy("c").agg(F.min("key").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
+    component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
+    out = sketched.select("id", "n_shingles").join(placed.join(least, "c", "left"), "id")
+    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(False)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, one with the smallest key (rows without a key come last); all columns.
 
-    Rows are told by number, so rows that repeat a key or have none are documents like others; rows without words all stay.
-    docs needs to read the same each time.
+    Rows are told by numbers, given and written once with the rows, so rows that repeat a key or have none are documents like
+    others; rows without words all stay. Columns go by position, whatever their names.
     """
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
-    found = near_duplicates(rows.select(row, text), key=row, text=text).select(F.col(row).alias("_id"), F.col("component_id").alias("_component"))
-    keys = rows.select(F.col(row).alias("_number"), F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row")).alias("_order"))
-    joined = materialize(found.join(keys, found["_id"] == keys["_number"]).select("_id", "_component", "_order"), "groups_of_rows")
-    first = joined.groupBy("_component").agg(F.min("_order").alias("_first"))
-    gone = joined.join(first, "_component").where(F.col("_id") != F.col("_first.row")).select(F.col("_id").alias("_gone"))
-    return rows.join(gone, rows[row] == gone["_gone"], "left_anti").drop(row)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    at = lambda c: F.col(names[docs.columns.index(c)])
+    rows = materialize(docs.toDF(*names).withColumn("id", F.monotonically_increasing_id()), "numbered")
+    texts = rows.select("id", at(text).alias("text"))
+    groups = _groups(_sketched(texts), texts)
+    order = F.struct(at(key).isNull().alias("none"), at(key).alias("key"), F.col("id").alias("id"))
+    placed = materialize(rows.select("id", order.alias("o")).join(groups, "id").select("id", "component_id", "o"), "placed")
+    first = materialize(placed.groupBy("component_id").agg(F.min("o").alias("first")), "first")
+    gone = materialize(placed.join(first, "component_id").where("id <> first.id").select("id"), "gone")
+    return rows.join(gone, "id", "left_anti").select(*names).toDF(*docs.columns)
