@@ -10,7 +10,11 @@ all documents.
 
 Patterns match leftmost and without overlap per kind. They run in Java's engine with possessive repeats, which find the
 same matches in linear time and without recursion. Positions are code points, ends exclusive, derived from the lengths of what
-lies between matches.
+lies between matches. Lists are built in blocks of BLOCK, overlaps are found by bisection, and texts are cut from chunks of CHUNK
+code points, so that work stays near linear in a text's length and matches, however many one text has.
+
+Accepted looser spans say so (base is false): they have kinds of their own or those of the base patterns, and counts and digests
+of the base patterns leave them out.
 
 DataFrame functions only. Defined cases: null and empty texts have no spans; a looser candidate that overlaps a base span
 or an earlier looser one goes; without any candidates the classifier accepts none; repeated rows are treated alike; other
@@ -19,6 +23,7 @@ columns play no part.
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass, field
 
@@ -31,6 +36,9 @@ from .shared import materialize
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban", "name")
 ACCEPT = 0.5
+#: Items of a list that are put together at a time, and code points of a chunk that spans are cut from.
+BLOCK = 64
+CHUNK = 1024
 
 # Fixed patterns: the contract's, with possessive repeats. (?<!x)|\G stands where only a run's start, or the end of the last match, can begin one.
 PATTERNS = {
@@ -63,25 +71,45 @@ COUNTER_CUES = r"(?iu)(order|invoice|isbn|version|article|page|serial|ref|id|no|
 VOTES = ("format", "gazetteer", "cue", "counter", "border", "digits")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), where value is computed once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _scan(items: Column, zero: Column, step, out: str) -> Column:
+    """What step gives for each item in turn: step(state, item) is a struct of the next state and an item of the result.
+
+    out is the type of the result's items. Results gather in blocks of BLOCK, and then blocks: appending to one list would copy it each time.
+    """
+    none = F.expr(f"cast(array() as array<{out}>)")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def block(done: Column, own: Column) -> Column:
+        inner = F.aggregate(own, F.struct(done["state"].alias("state"), none.alias("out")), lambda d, x: _let(step(d["state"], x), lambda y: F.struct(y["state"].alias("state"), F.concat(d["out"], F.array(y["out"])).alias("out"))))
+        return _let(inner, lambda y: F.struct(y["state"].alias("state"), F.concat(done["out"], F.array(y["out"])).alias("out")))
+
+    start = F.struct(zero.alias("state"), F.expr(f"cast(array() as array<array<{out}>>)").alias("out"))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(blocks, start, block)["out"])).otherwise(none)
+
+
+_MATCH = "struct<start:int,end:int,value:string,before:string,after:string>"
+
+
 def _found(text: Column, pattern: str, need: str | None = None) -> Column:
     """The matches of a pattern: start, end, value, and up to 24 code points before and after."""
-    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,before:string,after:string>>)")
+    none = F.expr(f"cast(array() as array<{_MATCH}>)")
 
     def place(x: Column) -> Column:
-        parts, found = x["parts"], x["found"]
-
-        def step(done: Column, i: Column) -> Column:
-            start = done["at"] + F.length(parts[i])
-            end = start + F.length(found[i])
-            one = F.struct(start.alias("start"), end.alias("end"), found[i].alias("value"), F.right(parts[i], F.lit(24)).alias("before"), F.left(parts[i + 1], F.lit(24)).alias("after"))
-            return F.struct(end.alias("at"), F.concat(done["out"], F.array(one)).alias("out"))
+        def step(at: Column, i: Column) -> Column:
+            start = at + F.length(x["parts"][i])
+            end = start + F.length(x["found"][i])
+            one = F.struct(start.alias("start"), end.alias("end"), x["found"][i].alias("value"), F.right(x["parts"][i], F.lit(24)).alias("before"), F.left(x["parts"][i + 1], F.lit(24)).alias("after"))
+            return F.struct(end.alias("state"), one.alias("out"))
 
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.when(F.size(found) == 0, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["out"])
+        return F.when(F.size(x["found"]) == 0, none).otherwise(_scan(F.sequence(F.lit(0), F.size(x["found"]) - 1), F.lit(0), step, _MATCH))
 
     # The two lists are bound by the outer transform, so that each is made once.
-    both = F.array(F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")))
-    placed = F.transform(both, place)[0]
+    placed = _let(F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), place)
     return F.when(F.contains(text, F.lit(need)), placed).otherwise(none) if need else placed
 
 
@@ -113,22 +141,22 @@ def _candidate(x: Column, kind: str, base: bool) -> Column:
     v, digits = x["value"], _digits(x["value"])
     never = F.lit(False)
     formats = {
-        "email": _vote(v.rlike(r"\.[A-Za-z]{2,10}$") | v.contains("("), ~v.rlike(r"[A-Za-z]{2}$")),
-        "ip": _vote(~v.rlike(r"(^|\.)0[0-9]"), v.rlike(r"(^|\.)0[0-9]")),
-        "card": _vote(F.length(digits).between(14, 19) & _luhn(digits), ~_luhn(digits)),
-        "phone": _vote(F.length(digits).between(10, 15), ~F.length(digits).between(10, 15)),
-        "ssn": _vote(~v.rlike(r"^(000|666|9)|-00-|-0000$"), v.rlike(r"^(000|666|9)|-00-|-0000$")),
-        "iban": _vote(F.length(F.replace(v, F.lit(" "))).between(15, 34)),
-        "name": _vote(v.rlike(r" \p{Lu}\p{Ll}+$")),
+        "email": lambda: _vote(v.rlike(r"\.[A-Za-z]{2,10}$") | v.contains("("), ~v.rlike(r"[A-Za-z]{2}$")),
+        "ip": lambda: _vote(~v.rlike(r"(^|\.)0[0-9]"), v.rlike(r"(^|\.)0[0-9]")),
+        "card": lambda: _vote(F.length(digits).between(14, 19) & _luhn(digits), ~_luhn(digits)),
+        "phone": lambda: _vote(F.length(digits).between(10, 15), ~F.length(digits).between(10, 15)),
+        "ssn": lambda: _vote(~v.rlike(r"^(000|666|9)|-00-|-0000$"), v.rlike(r"^(000|666|9)|-00-|-0000$")),
+        "iban": lambda: _vote(F.length(F.replace(v, F.lit(" "))).between(15, 34)),
+        "name": lambda: _vote(v.rlike(r" \p{Lu}\p{Ll}+$")),
     }
     gazetteers = {
-        "email": _vote(v.rlike(rf"(?i)[.\])] ?({DOMAINS})$")),
-        "ip": _vote(never, v.rlike(rf"^({RESERVED})")),
-        "card": _vote(digits.rlike(rf"^({ISSUERS})"), ~digits.rlike(rf"^({ISSUERS})")),
-        "phone": _vote(v.rlike(rf"^\+({DIALLING})\b")),
-        "ssn": _vote(never),
-        "iban": _vote(v.rlike("^(DE|FR|ES|GB|IT|NL|BE|AT|CH)")),
-        "name": _vote(v.rlike(rf" ({FIRST_NAMES})\b"), ~v.rlike(rf" ({FIRST_NAMES})\b")),
+        "email": lambda: _vote(v.rlike(rf"(?i)[.\])] ?({DOMAINS})$")),
+        "ip": lambda: _vote(never, v.rlike(rf"^({RESERVED})")),
+        "card": lambda: _vote(digits.rlike(rf"^({ISSUERS})"), ~digits.rlike(rf"^({ISSUERS})")),
+        "phone": lambda: _vote(v.rlike(rf"^\+({DIALLING})\b")),
+        "ssn": lambda: _vote(never),
+        "iban": lambda: _vote(v.rlike("^(DE|FR|ES|GB|IT|NL|BE|AT|CH)")),
+        "name": lambda: _vote(v.rlike(rf" ({FIRST_NAMES})\b"), ~v.rlike(rf" ({FIRST_NAMES})\b")),
     }
     glued = x["before"].rlike(r"[\p{L}0-9]$") | x["after"].rlike(r"^[\p{L}0-9]")
     kinds = F.size(F.array_distinct(F.split(digits, "")))
@@ -137,8 +165,8 @@ def _candidate(x: Column, kind: str, base: bool) -> Column:
         x["start"].cast("long").alias("start"),
         x["end"].cast("long").alias("end"),
         F.lit(base).alias("base"),
-        formats[kind].alias("format"),
-        gazetteers[kind].alias("gazetteer"),
+        formats[kind]().alias("format"),
+        gazetteers[kind]().alias("gazetteer"),
         _vote(x["before"].rlike(CUES)).alias("cue"),
         _vote(never, x["before"].rlike(COUNTER_CUES)).alias("counter"),
         _vote(~glued, glued).alias("border"),
@@ -151,21 +179,30 @@ def _candidate(x: Column, kind: str, base: bool) -> Column:
 def candidates(text: Column) -> Column:
     """All candidate spans of a text, with votes and features; ordered by start, and then kind as in KINDS."""
     text = F.coalesce(text, F.lit(""))
-    parts = []
-    for kind, pattern in PATTERNS.items():
-        good = F.filter(_found(text, pattern, _NEEDS.get(kind)), _condition(kind))
-        parts.append(F.transform(good, _as(kind, True)))
-    base = F.concat(*parts)
+    base = F.struct(*(F.transform(F.filter(_found(text, pattern, _NEEDS.get(kind)), _condition(kind)), _as(kind, True)).alias(kind) for kind, pattern in PATTERNS.items()))
     loose = F.concat(*(F.transform(_found(text, pattern, _NEEDS.get(name)), _as(_AS[name], False)) for name, pattern in LOOSE.items()))
 
+    def meets(spans: Column, y: Column) -> Column:
+        """Whether y overlaps one of some spans that lie in order and apart: the first that ends after y's start decides, found by bisection."""
+        first = F.aggregate(F.expr(_STEPS), F.lit(0), lambda at, n: F.when(F.coalesce(F.get(spans, at + n - 1)["end"] <= y["start"], F.lit(False)), at + n).otherwise(at))
+        return F.coalesce(F.get(spans, first)["start"] < y["end"], F.lit(False))
+
+    def apart(end: Column, y: Column) -> Column:
+        """Drops a span that begins before the last one that stays has ended."""
+        return F.when(y["start"] < end, F.struct(end.alias("state"), F.lit(None).cast(_CANDIDATE).alias("out"))).otherwise(F.struct(y["end"].alias("state"), y.alias("out")))
+
     def both(x: Column) -> Column:
         """The base spans, and each loose one that meets none of them nor an earlier loose one that stays."""
-        free = F.filter(F.array_sort(x["loose"], _by_start), lambda y: ~F.exists(x["base"], lambda z: (z["start"] < y["end"]) & (y["start"] < z["end"])))
-        apart = F.aggregate(free, F.slice(x["loose"], 1, 0), lambda done, y: F.when(F.get(done, F.size(done) - 1)["end"] > y["start"], done).otherwise(F.concat(done, F.array(y))))
-        return F.concat(x["base"], F.when(F.size(x["loose"]) > 0, apart).otherwise(x["loose"]))
+        free = F.filter(F.array_sort(x["loose"], _by_start), lambda y: ~functools.reduce(Column.__or__, (meets(x["base"][kind], y) for kind in BASE)))
+        kept = F.filter(_let(free, lambda y: _scan(y, F.lit(0).cast("long"), apart, _CANDIDATE)), lambda y: y.isNotNull())
+        return F.concat(*(x["base"][kind] for kind in BASE), F.when(F.size(x["loose"]) > 0, kept).otherwise(x["loose"]))
+
+    return F.array_sort(_let(F.struct(base.alias("base"), loose.alias("loose")), both), _by_start)
+
 
-    united = F.transform(F.array(F.struct(base.alias("base"), loose.alias("loose"))), both)[0]
-    return F.array_sort(united, _by_start)
+#: A candidate's type, and steps of bisection, which reach any list that one text can have.
+_CANDIDATE = "struct<kind:string,start:bigint,end:bigint,base:boolean,format:int,gazetteer:int,cue:int,counter:int,border:int,digits:int,length:int,share:int>"
+_STEPS = f"array({', '.join(str(1 << k) for k in range(29, -1, -1))})"
 
 
 def _condition(kind: str):
@@ -251,28 +288,45 @@ def learn(found: DataFrame, *, column: str = "candidates", rounds: int = 50) ->
 
 
 def accepted(found: Column, model: Model, accept: float = ACCEPT) -> Column:
-    """The base spans and those the classifier accepts: kind, start, end."""
+    """The base spans and those the classifier accepts: kind, start, end, and whether a base pattern gave it."""
     kept = F.filter(found, lambda x: x["base"] | (model.chance(x) >= accept))
-    return F.transform(kept, lambda x: F.struct(x["kind"], x["start"], x["end"]))
+    return F.transform(kept, lambda x: F.struct(x["kind"], x["start"], x["end"], x["base"]))
 
 
 def spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: key and spans (kind, start, end), by start and then kind. The model is fitted to these documents."""
+    """For each row: key and spans (kind, start, end, base), by start and then kind. The model is fitted to these documents."""
     found = materialize(docs.select(F.col(key), candidates(F.col(text)).alias("candidates")), "candidates")
     return found.select(key, accepted(F.col("candidates"), learn(found)).alias("spans"))
 
 
-def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """docs with every span of text replaced by its kind in angle brackets; all other rows and columns stay as they are."""
-    model = learn(docs.select(candidates(F.col(text)).alias("candidates")))
+def _rewritten(text: Column, found: Column) -> Column:
+    """The text with each span replaced by its kind in angle brackets; of spans that overlap, the first one's kind stands for all."""
+
+    def cut(chunks: Column, start: Column, end: Column) -> Column:
+        """The code points from start to end, out of the chunks that hold them."""
+        part = lambda c: F.substring(F.get(chunks, c), (F.greatest(start, c * CHUNK) - c * CHUNK + 1).cast("int"), (F.least(end, (c + 1) * CHUNK) - F.greatest(start, c * CHUNK)).cast("int"))
+        every = F.transform(F.sequence(F.floor(start / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")), part)
+        return F.when(end > start, F.array_join(every, "")).otherwise("")
 
     def rewrite(x: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-        step = lambda done, y: F.when(y["start"] < done["at"], F.struct(F.greatest(done["at"], y["end"]).alias("at"), done["out"].alias("out"))).otherwise(
-            F.struct(y["end"].alias("at"), F.concat(done["out"], F.substring(x["text"], (done["at"] + 1).cast("int"), (y["start"] - done["at"]).cast("int")), F.lit("<"), F.upper(y["kind"]), F.lit(">")).alias("out"))
-        )
-        end = F.aggregate(x["spans"], start, step)
-        return F.transform(F.array(end), lambda e: F.concat(e["out"], F.substring(x["text"], (e["at"] + 1).cast("int"), F.length(x["text"]))))[0]
-
-    cleaned = F.transform(F.array(F.struct(F.col(text).alias("text"), accepted(candidates(F.col(text)), model).alias("spans"))), lambda x: F.when(F.size(x["spans"]) > 0, rewrite(x)).otherwise(x["text"]))[0]
-    return docs.withColumn(text, cleaned)
+        def step(at: Column, y: Column) -> Column:
+            fresh = F.concat(cut(x["chunks"], at, y["start"]), F.lit("<"), F.upper(y["kind"]), F.lit(">"))
+            return F.struct(F.greatest(at, y["end"]).alias("state"), F.when(y["start"] < at, "").otherwise(fresh).alias("out"))
+
+        last = F.array_max(F.transform(x["spans"], lambda y: y["end"]))
+        return F.concat(F.array_join(_scan(x["spans"], F.lit(0).cast("long"), step, "string"), ""), cut(x["chunks"], last, x["n"]))
+
+    return _let(F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}+"), F.lit(0)).alias("chunks"), F.length(text).cast("long").alias("n"), found.alias("spans")), rewrite)
+
+
+def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """docs with every span of text replaced by its kind in angle brackets; all other rows and columns stay as they are.
+
+    Candidates are found once and written beside the rows; columns go by position, whatever their names.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    own = F.col(names[docs.columns.index(text)])
+    found = materialize(docs.toDF(*names).withColumn("_candidates", candidates(own)), "candidates")
+    rows = found.withColumn("_spans", accepted(F.col("_candidates"), learn(found, column="_candidates")))
+    cleaned = F.when(F.size("_spans") > 0, _rewritten(own, F.col("_spans"))).otherwise(own)
+    return rows.select(*(cleaned.alias(n) if n == names[docs.columns.index(text)] else F.col(n) for n in names)).toDF(*docs.columns)
