@@ -10,13 +10,13 @@ and the HOT words that come most often (short ones, so that their table has a fi
 which decides on nothing but speed, a word counts in stretches of text where it comes twice. All other words: each text lists its
 own once, with their place; the lists are shuffled by word, and where equal words meet, the word is encoded once.
 
-Ids come back by position: a text becomes a sequence of word numbers, and the ids of its rare words return by row number and
-place. Texts themselves are never shuffled: only the sequences, compressed. Decoding joins ids with the vocabulary's pieces.
+Ids come back by position: a text becomes a sequence of word numbers, and the ids of its rare words return by row (file and
+place in it, which don't change with a scan's splits; rows that don't come from a file are numbered and written once) and place. Texts themselves are never shuffled: only the sequences, compressed. Decoding joins ids with the vocabulary's pieces.
 
-Frequent words are matched by 64-bit hashes, others by their bytes.
+Frequent words are matched by 64-bit hashes and lengths, others by their bytes.
 
 Defined cases: null and empty texts have no ids and decode to an empty text; very long words and texts are handled whole;
-rows are told apart by their place in the input, so null and repeated keys keep a result each; words the tokenizer gives no
+rows are told apart by that, so null and repeated keys keep a result each; words the tokenizer gives no
 ids add nothing; an empty table gives an empty result; other columns play no part.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .shared import materialize, release
+from .shared import materialize, release, with_row
 
 #: Words in the broadcast, and the longest of them in bytes: it has at most HOT * (LONGEST + its ids).
 HOT = 1 << 18
@@ -174,21 +174,23 @@ class Hot:
     def __init__(self, table: pa.Table):
         words = Flat(table["word"])
         hashes, _ = K.hash_spans(words.data, words.start, words.start + words.size)
+        self.size = words.size.astype(np.int32)
         order = np.argsort(hashes)
         self.hashes, self.number = hashes[order], order.astype(np.int32)
         self.ids, self.decoded = Flat(table["ids"]), Flat(table["text"])
         self.first = np.zeros(1 << SLOTS, np.int32)
         self.first[self.hashes >> np.uint64(64 - SLOTS)] = np.arange(len(order), dtype=np.int32)
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """The words' numbers, or -1."""
+    def numbers(self, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The numbers of words of these hashes and bytes, or -1."""
         if not len(self.hashes):
             return np.full(len(hashes), -1, np.int64)
         out = self.first[hashes >> np.uint64(64 - SLOTS)].astype(np.int64)
         rest = np.flatnonzero(self.hashes[out] != hashes)
         at = np.minimum(np.searchsorted(self.hashes, hashes[rest]), len(self.hashes) - 1)
         out[rest] = np.where(self.hashes[at] == hashes[rest], at, -1)
-        return np.where(out < 0, -1, self.number[out])
+        number = self.number[out]
+        return np.where((out < 0) | (self.size[number] != sizes), -1, number)
 
 
 def decode_ids(ids: bytes, pieces: list[str]) -> bytes:
@@ -254,16 +256,17 @@ def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = (), t
             data, offsets = K.text_bytes(batch.column(1))
             for i, j in K.pieces(offsets):
                 units = Units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                found = table.numbers(units.hashes)
+                found = table.numbers(units.hashes, units.ends - units.starts)
+                raw, n = units.low.tobytes(), len(table.hashes)
                 rare = np.flatnonzero(found < 0)
                 cut = np.searchsorted(rare, units.offsets)
                 sequences, others = [], []
                 for d in range(j - i):
                     own = rare[cut[d] : cut[d + 1]]
                     if len(own):
-                        _, first, place = np.unique(units.hashes[own], return_index=True, return_inverse=True)
-                        found[own] = len(table.hashes) + place
-                        others.append(units.words(own[first]) if len(first) > 64 else [units.low[s:e].tobytes() for s, e in zip(units.starts[own[first]], units.ends[own[first]], strict=True)])
+                        places: dict[bytes, int] = {}
+                        found[own] = [n + places.setdefault(raw[s:e], len(places)) for s, e in zip(units.starts[own].tolist(), units.ends[own].tolist(), strict=True)]
+                        others.append(list(places))
                     else:
                         others.append([])
                     sequences.append(_pack(found[units.offsets[d] : units.offsets[d + 1]]))
@@ -296,16 +299,17 @@ def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = (), t
                     out.append(pa.array(put(table.decoded, Flat([spaced(x, names_) for x in rare]), 1), pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(out, out_names)
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"), *(F.col(c).alias(i) for c, i in zip(keep, inner, strict=True)))
+    chosen = docs.select(F.col(text).alias("_text"), *(F.col(c).alias(i) for c, i in zip(keep, inner, strict=True)))
+    numbered = with_row(chosen).select("_row", "_text", *inner)
     kept = [docs.schema[c] for c in keep]
     renamed = [T.StructField(i, f.dataType) for i, f in zip(inner, kept, strict=True)]
-    sequences = numbered.mapInArrow(number, T.StructType([*T._parse_datatype_string("_row long, sequence binary, others array<binary>").fields, *renamed]))
+    sequences = numbered.mapInArrow(number, T.StructType([*T._parse_datatype_string("_row struct<file:long,row:long>, sequence binary, others array<binary>").fields, *renamed]))
     rare = sequences.select("_row", F.posexplode("others").alias("place", "word"))
     # Frequent words are gone from these; only a very long word may come in very many texts, so those are dealt to several tasks.
-    share = F.when(F.length("word") > LONGEST, F.pmod("_row", F.lit(64))).otherwise(0)
+    share = F.when(F.length("word") > LONGEST, F.pmod(F.xxhash64("_row"), F.lit(64))).otherwise(0)
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sorted_words = rare.repartition(n, "word", share).sortWithinPartitions("word")
-    found = sorted_words.mapInArrow(encode_rare, "_row long, found binary").groupBy("_row").agg(F.collect_list("found").alias("found"))  # at most a text's own words
+    found = sorted_words.mapInArrow(encode_rare, "_row struct<file:long,row:long>, found binary").groupBy("_row").agg(F.collect_list("found").alias("found"))  # at most a text's own words
     joined = sequences.select("_row", "sequence", *inner).join(found, "_row", "left")
     fields = kept + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())] + ([T.StructField("decoded", T.StringType())] if decoded else [])
     out_names = [f.name for f in fields]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ BASE_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: Spans beyond this many bytes are hashed by BLAKE2b: a polynomial modulo 2**64 confuses some regular strings of 1024 bytes and more.
+LONG_SPAN = 256
 #: Words between ASCII white space.
 PLAIN_WORD = ~WHITE
 #: Words of ASCII digits, ASCII letters (looked up in lower case) and all bytes beyond ASCII.
@@ -78,7 +81,8 @@ def powers(n: int, base: np.uint64 = BASE, inverse: np.uint64 = BASE_INV) -> tup
 def hash_spans(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of spans of bytes (in order, not overlapping), and for each of `prefixes` a row with the hashes of that many first bytes.
 
-    Spans are taken in pieces of about PIECE bytes, so that the tables of powers stay short. A span no longer than the prefix has its own hash there.
+    Spans are taken in pieces of about PIECE bytes, so that the tables of powers stay short. A span no longer than the prefix has its own hash there;
+    prefixes are at most LONG_SPAN.
     """
     hashes = np.empty(len(starts), U)
     begins = np.empty((len(prefixes), len(starts)), U)
@@ -95,6 +99,8 @@ def hash_spans(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes:
         for row, n in zip(begins, prefixes, strict=True):
             row[k:m] = np.where(e - s > n, mix((sums[np.minimum(s + n, e)] - sums[s]) * down[s] + U(n << 32)), hashes[k:m])
         k = m
+    for i in np.flatnonzero(ends - starts > LONG_SPAN).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return hashes, begins
 
 

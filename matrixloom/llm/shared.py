@@ -29,6 +29,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """docs with a column that tells its rows apart and is the same in every read: struct<file, row>.
+
+    Where docs is a Parquet table, or columns and rows chosen from one: the hash of the file's path and the row's place in the file, which
+    don't depend on how files are split. Else rows are numbered and written once.
+    """
+    if _is_file_scan(docs):
+        return docs.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("long").alias("row")))
+    return materialize(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))), "numbered")
+
+
+def _is_file_scan(docs: DataFrame) -> bool:
+    """Whether the plan only chooses columns and rows of one Parquet table, each of whose files is read once."""
+    if "_metadata" in docs.columns:
+        return False
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    relation = plan.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation" or relation.fileFormat().toString().lower() != "parquet":
+        return False
+    paths = relation.location().rootPaths()
+    return len({paths.apply(i).toString() for i in range(paths.size())}) == paths.size()
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that nothing refers to any more, which it else does when the driver's heap fills."""
     gc.collect()
