@@ -18,10 +18,11 @@ Suffixes are bucketed, and one bucket at a time is sorted, with long ties resolv
 
 Found intervals meet their documents by row number. Only documents with intervals, and those with borders, are shuffled.
 
-Rows are told apart by their place in the input: docs must be a table that reads the same each time (files). Defined cases: a null
+Rows are told apart by numbers, given and written once with their texts. Defined cases: a null
 text is empty; texts shorter than LENGTH bytes lose nothing; matches never cross texts; equal rows repeat each other; very
 long texts are handled in stretches; rows with a null key are treated like others; an empty table gives an empty result.
-Runs are compared by two 64-bit hashes; windows of sorted buckets by their bytes.
+Runs are compared by two 64-bit hashes of unlike kinds (of their gram's bytes, and of all their 8-byte words, mixed); windows of
+sorted buckets by their bytes; windows of case 4 by two fingerprints with independent weights for each of their bytes.
 """
 
 from __future__ import annotations
@@ -101,7 +102,9 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -
     end[:-1] = change[1:] | ~valid[1:]
     last = np.flatnonzero(valid & end)
     anchor = anchor[first]
-    content = K.mix((sums[last + length] - sums[first]) * down[first] + K.mix((anchor - first).astype(U) << U(16) ^ (last - first).astype(U)))
+    mixed = np.zeros(n - 6, U)  # mixing makes the sum unlike one of bytes, which regular strings can deceive
+    np.cumsum(K.mix(_words(np.concatenate([data, np.zeros(8, np.uint8)]))[: n - 7]) * up[: n - 7], out=mixed[1:])
+    content = K.mix((mixed[last + length - 7] - mixed[first]) * down[first] + K.mix((anchor - first).astype(U) << U(16) ^ (last - first).astype(U)))
     return first, last, anchor, grams[anchor], content
 
 
@@ -349,15 +352,18 @@ def _match_prints(length: int):
     return match
 
 
-def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
-    """(row, start, end): intervals of bytes that are repeated, by row number; they may overlap. Written to the shared folder."""
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+def repeats(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
+    """(row, start, end): intervals of bytes that are repeated, by row number; they may overlap. Written to the shared folder.
+
+    rows is a written table with each text and its number, `_row`.
+    """
+    spark = rows.sparkSession
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 64
     while buckets * BUCKET_RUNS < total * 2 / (length - gram):
         buckets *= 2
     tasks = min(buckets, 4096)
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("text"))
+    rows = rows.select("_row", "text")
     runs = rows.mapInArrow(_make_runs(length, gram, buckets), "bucket int, n int, packed binary")
     found = materialize(runs.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_match_runs(many), _FOUND), "runs")
     borders = found.where("kind = 1")
@@ -377,8 +383,9 @@ def repeats(docs: DataFrame, *, text: str = "text", length: int = LENGTH, gram:
 
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """For each row: key, n_bytes, spans (maximal removed runs: start and end byte) and kept (the remaining bytes)."""
-    found = repeats(docs, text=text, length=length)
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key), F.col(text).alias("_text"))
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.col(text).alias("text")), "numbered")
+    found = repeats(numbered, length=length)
+    rows = numbered.select("_row", F.col("_key").alias(key), F.col("text").alias("_text"))
     ids = materialize(found.select("row").distinct(), "rows")
     schema = T.StructType([docs.schema[key], *T._parse_datatype_string("n_bytes long, spans array<struct<start:long,end:long>>, kept binary").fields])
 
