@@ -50,8 +50,6 @@ EFFICIENCY = 2.2
 WORDLIKE = 2.0
 #: Lengths in hexadecimal digits of the usual digests: CRC32 doubled, MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGESTS = (16, 32, 40, 56, 64, 96, 128)
-#: Characters of a run that are encoded at a time: bounds the work for one token stretch.
-STRETCH = 256
 #: Parts from this length can be known ones.
 KNOWN_LEAST = min(DIGESTS)
 
@@ -249,8 +247,7 @@ def spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabular
                             x = z - len(raw[s + x - a : s + z - a].lstrip(b"+/_=-"))
                         if z - x >= min_run:
                             run = raw[s + x - a : s + z - a]
-                            word, encoder = run.decode(), _encoder(shipped)
-                            lengths = [sizes[t] for k in range(0, len(word), STRETCH) for t in encoder.encode_ordinary(word[k : k + STRETCH])]
+                            lengths = [sizes[t] for t in _encoder(shipped).encode_ordinary(run.decode())]
                             found[d] += [(x + p, 3, x + q) for p, q in random_stretches(run, lengths, min_run, efficiency)]
                 out = []
                 for d, own in enumerate(found):
