@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, tidied
 
 MAX_ROUNDS = 60
 
@@ -34,6 +34,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     Each round costs a few shuffles of the links, whose number never grows. Least neighbours are summed before the shuffle and written
     before they are joined, so that a join has plain shuffles on both sides, and adaptive execution splits a hub's partition.
     """
+    return tidied(links.sparkSession, lambda: _settled(links, a, b))
+
+
+def _settled(links: DataFrame, a: str, b: str) -> DataFrame:
     pair = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = materialize(pair, "links")
     before = _mark(edges)
@@ -51,8 +55,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
 def extended(groups: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
     """The components once more links are added: groups is what components() gave, and only their numbers take part again. Both are written tables."""
-    if links.isEmpty():
-        return groups
+    return groups if links.isEmpty() else tidied(groups.sparkSession, lambda: _extended(groups, links, a, b))
+
+
+def _extended(groups: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
     of = lambda end: groups.select(F.col("id").alias(end), F.col("component_id").alias(f"{end}_c"))
     between = links.join(of(a), a, "left").join(of(b), b, "left").select(F.coalesce(f"{a}_c", a).alias("p"), F.coalesce(f"{b}_c", b).alias("q"))
     joined = components(between, "p", "q")

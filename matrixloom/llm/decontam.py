@@ -5,8 +5,9 @@ of WINDOW consecutive words; an item with fewer words, but some, is one window.
 on its words. Every document word inside an occurrence of a window is hit.
 
 The broadcast holds at most MAX_WINDOWS windows. A larger benchmark is dealt with in several parts, each with a scan
-of its own over the texts as they came, and the findings are united by row; so its size is bounded whatever the benchmark
-has, and the result doesn't depend on the number of parts. For that, rows get numbers and are written once.
+of its own over the texts as they came, whose findings are written before the broadcast goes and the next part comes; the
+findings are united by row. So one bounded index is in memory at a time whatever the benchmark has, and the result doesn't
+depend on the number of parts. For that, rows get numbers and are written once.
 
 Defined cases: a null or empty text, or one without words, has no words and no hits; an item without words (or null)
 has no windows; an item with a null id hits but is not named; equal windows of several items name them all; repeated
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -101,10 +103,21 @@ FOUND = T.StructType(
 _HITS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, item: str, text: str, window: int, most: int) -> list:
-    """The broadcast indexes of all parts, at least one."""
-    context = docs.sparkSession.sparkContext
-    return [context.broadcast(index) for index in _parts(benchmark, item, text, window, most) if len(index)] or [context.broadcast(Index([], window))]
+def _indexes(benchmark: DataFrame, item: str, text: str, window: int, most: int) -> tuple[Index, Iterator[Index] | None]:
+    """The first index, and all of them if there are several."""
+    found = (index for index in _parts(benchmark, item, text, window, most) if len(index))
+    first = next(found, None) or Index([], window)
+    second = next(found, None)
+    return first, itertools.chain([first, second], found) if second else None
+
+
+def _each(rows: DataFrame, by: str, text: str, indexes: Iterator[Index]) -> Iterator[DataFrame]:
+    """What each part finds, written; its broadcast is gone before the next one comes. After the first part, rows without hits are left out."""
+    for i, index in enumerate(indexes):
+        shipped = rows.sparkSession.sparkContext.broadcast(index)
+        found = _scanned(rows, by, text, shipped)
+        yield materialize(found.where("size(hits) > 0") if i else found, "hits")
+        shipped.destroy()
 
 
 def _scanned(docs: DataFrame, key: str, text: str, index) -> DataFrame:
@@ -146,13 +159,12 @@ def _united(every: list[DataFrame], by: str) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """For each row of docs: key, n_words, hits (runs of hit words: first and last word, start and end byte) and items (names in order)."""
-    indexes = _indexes(docs, benchmark, item, text, window, max_windows)
-    if len(indexes) < 2:
-        return _scanned(docs, key, text, indexes[0])
+    first, every = _indexes(benchmark, item, text, window, max_windows)
+    if every is None:
+        return _scanned(docs, key, text, docs.sparkSession.sparkContext.broadcast(first))
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
     numbered = materialize(rows, "numbered").select(F.struct("_row", "_key").alias("_id"), "_text")
-    first, *others = [_scanned(numbered, "_id", "_text", x) for x in indexes]
-    return _united([first, *(x.where("size(hits) > 0") for x in others)], "_id").select(F.col("_id._key").alias(key), "n_words", "hits", "items")
+    return _united(list(_each(numbered, "_id", "_text", every)), "_id").select(F.col("_id._key").alias(key), "n_words", "hits", "items")
 
 
 def digest(found: DataFrame, *, key: str = "doc_id") -> DataFrame:
@@ -178,11 +190,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     """
     place = docs.columns.index(text)
     schema = docs.schema
-    indexes = _indexes(docs, benchmark, item, text, window, max_windows)
-    if len(indexes) > 1:
-        return _cut(docs, place, indexes, most_hit)
+    first, every = _indexes(benchmark, item, text, window, max_windows)
+    if every is not None:
+        return _cut(docs, place, every, most_hit)
 
-    def strip(batches: Iterable[pa.RecordBatch], index=indexes[0]) -> Iterator[pa.RecordBatch]:
+    def strip(batches: Iterable[pa.RecordBatch], index=docs.sparkSession.sparkContext.broadcast(first)) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.text_bytes(batch.column(place))
             for i, j in K.pieces(offsets):
@@ -204,11 +216,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     return docs.mapInArrow(strip, schema)
 
 
-def _cut(docs: DataFrame, place: int, indexes: list, most_hit: float) -> DataFrame:
+def _cut(docs: DataFrame, place: int, indexes: Iterator[Index], most_hit: float) -> DataFrame:
     """docs cut by the hits of several parts. Columns go by position, whatever their names."""
     schema, names = docs.schema, [f"_c{i}" for i in range(len(docs.columns))]
     numbered = materialize(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    united = _united([_scanned(numbered, "_row", names[place], x).where("size(hits) > 0") for x in indexes], "_row")
+    united = _united([x.where("size(hits) > 0") for x in _each(numbered, "_row", names[place], indexes)], "_row")
     n_hit = F.expr("aggregate(hits, 0L, (n, x) -> n + x.last - x.first + 1)")
     found = united.select("_row", (n_hit / F.col("n_words") > most_hit).alias("_gone"), F.expr("transform(hits, x -> x.start)").alias("_starts"), F.expr("transform(hits, x -> x.end)").alias("_ends"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components, extended
-from .shared import materialize, only_ids, release
+from .shared import materialize, only_ids, release, tidied
 
 SHINGLE = 5
 SIMILAR = (75, 100)
@@ -41,7 +41,7 @@ BINS = ROWS * BANDS
 #: Least share of equal coordinates for members of different components to be verified.
 ESTIMATE = 0.6
 BLOCK = 512
-SHARE = 1000
+SHARE = 250
 U = np.uint64
 
 
@@ -254,6 +254,11 @@ def _remaining(members: DataFrame, sketched: DataFrame, texts: DataFrame) -> Dat
 
 
 def _groups(sketched: DataFrame, texts: DataFrame) -> DataFrame:
+    """What _connected() gives, without the tables that it needs on the way."""
+    return tidied(sketched.sparkSession, lambda: _connected(sketched, texts))
+
+
+def _connected(sketched: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, component_id) for each row (by number) that is linked with another. sketched and texts are written tables with a row's number as id.
 
     Rows with equal sets are one class, for which the one with the least number stands; the classes' rows follow it in the end.
@@ -267,11 +272,11 @@ def _groups(sketched: DataFrame, texts: DataFrame) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = materialize(keyed.join(materialize(shared, "shared"), "key"), "buckets")
     release(spark)
-    groups = components(_confirmed(_pivots(buckets.withColumn("c", F.col("id")), False), texts), "a", "b")
+    groups = components(tidied(spark, lambda: _confirmed(_pivots(buckets.withColumn("c", F.col("id")), False), texts)), "a", "b")
     release(spark)
-    groups = extended(groups, _confirmed(_pivots(_grouped(buckets, groups), True), texts), "a", "b")
+    groups = extended(groups, tidied(spark, lambda: _confirmed(_pivots(_grouped(buckets, groups), True), texts)), "a", "b")
     release(spark)
-    groups = extended(groups, _remaining(_grouped(buckets, groups), worded, texts), "a", "b")
+    groups = extended(groups, tidied(spark, lambda: _remaining(_grouped(buckets, groups), worded, texts)), "a", "b")
     release(spark)
     of = groups.select(F.col("id").alias("rep"), F.col("component_id").alias("_c"))
     followed = copies.join(of, "rep", "left").select("id", F.coalesce("_c", "rep").alias("component_id"))
@@ -315,10 +320,14 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = lambda c: F.col(names[docs.columns.index(c)])
     rows = materialize(docs.toDF(*names).withColumn("id", F.monotonically_increasing_id()), "numbered")
-    texts = rows.select("id", at(text).alias("text"))
-    groups = _groups(_sketched(texts), texts)
     order = F.struct(at(key).isNull().alias("none"), at(key).alias("key"), F.col("id").alias("id"))
-    placed = materialize(rows.select("id", order.alias("o")).join(groups, "id").select("id", "component_id", "o"), "placed")
-    first = materialize(placed.groupBy("component_id").agg(F.min("o").alias("first")), "first")
-    gone = materialize(placed.join(first, "component_id").where("id <> first.id").select("id"), "gone")
+    gone = tidied(docs.sparkSession, lambda: _gone(rows.select("id", at(text).alias("text")), rows.select("id", order.alias("o"))))
     return rows.join(gone, "id", "left_anti").select(*names).toDF(*docs.columns)
+
+
+def _gone(texts: DataFrame, order: DataFrame) -> DataFrame:
+    """The rows (id) that aren't the first of their group by order (id, o)."""
+    groups = _groups(_sketched(texts), texts)
+    placed = materialize(order.join(groups, "id").select("id", "component_id", "o"), "placed")
+    first = materialize(placed.groupBy("component_id").agg(F.min("o").alias("first")), "first")
+    return materialize(placed.join(first, "component_id").where("id <> first.id").select("id"), "gone")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextvars
 import gc
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +28,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(BATCH, batch)
+    if (written := _written.get()) is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The tables written inside tidied(), by path.
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
+
+def tidied(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """What build() returns, one table that it has written last; the other tables that it wrote are deleted."""
+    outer, own = _written.get(), []
+    token = _written.set(own)
+    try:
+        result = build()
+    finally:
+        _written.reset(token)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in own[:-1]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    if outer is not None:
+        outer += own[-1:]
+    return result
+
+
 def with_row(docs: DataFrame, name: str = "_row") -> DataFrame:
     """docs with a column that tells its rows apart and is the same in every read: struct<file, row>.
 

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
+import __spark_entry__
 import corpus_pipeline
 from matrixloom.llm import bpe, embdedup, neardup, queries
 
@@ -112,4 +113,4 @@ def test_last_stage_decodes(spark, tmp_path):
 
 def test_stages_are_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "encoding"]
-    assert corpus_pipeline.ORACLE_SQL is None and "pipeline" in queries.QUERIES and sum(q.startswith("op") for q in queries.QUERIES) == 10
+    assert corpus_pipeline.ORACLE_SQL is None and __spark_entry__.queries().keys() >= {"pipeline", *queries.QUERIES} and sum(q.startswith("op") for q in queries.QUERIES) == 10
