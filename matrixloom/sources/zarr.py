@@ -1,6 +1,6 @@
 """Zarr v3 arrays and annotated-matrix groups, by the public specification: a reader as a Spark data source, and an exporter.
 
-Codecs: bytes (either order), transpose, zstd, gzip, crc32c, blosc is not readable here. Shards (sharding_indexed) are read
+Codecs: bytes (either order), transpose, zstd, gzip, blosc, crc32c. Shards (sharding_indexed) are read
 whole. The data source `zarr_rows` gives packed rows of a row-sparse, column-sparse or dense matrix; each partition reads a range of
 major rows and only the chunks that range touches. Paths must be readable by executors (a shared file system).
 """
@@ -24,6 +24,7 @@ from ..config import AppConfig
 from ..errors import ConversionError
 from ..functions.scalar import HELD_AS
 from ..operators.matrix import Matrix
+from . import blosc
 from .annotated import Annotated, frame_from
 
 MISSING_INDEX = (1 << 64) - 1  # of a shard's chunk that isn't there
@@ -76,6 +77,8 @@ class Array:
                 raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
             elif name == "gzip":
                 raw = gzip.decompress(raw)
+            elif name in ("blosc", "numcodecs.blosc"):
+                raw = blosc.decode(raw)
             elif name == "crc32c":
                 raw = raw[:-4]
             elif name not in ("bytes", "vlen-utf8", "transpose", "sharding_indexed"):
@@ -226,12 +229,62 @@ def read_frame(path: str) -> pd.DataFrame:
     return pd.DataFrame({c: column(f"{path}/{c}") for c in attrs.get("column-order", [])}, index=[str(x) for x in names])
 
 
+def _children(path: str) -> list[str]:
+    """The names of a group's elements, in order; none where there is no group."""
+    return sorted(p.name for p in Path(path).iterdir() if (p / "zarr.json").exists()) if os.path.isdir(path) else []
+
+
+def read_vectors(spark: SparkSession, path: str, id: str):
+    """(id, vec) of a dense element of obsm or varm, read by tasks; a row of zeros has a vector like others."""
+    from pyspark.sql import functions as F
+
+    if attributes(path).get("encoding-type", "array") != "array":
+        raise ConversionError(f"{path} is not a dense array")
+    m = read_matrix(spark, path)
+    zero = F.lit(0).cast(m.dtype)
+    cells = m.entries().groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("col_id", "value"))).alias("cells"))  # one row of the array
+    vec = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(m.n_cols - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("cells", i), zero))
+    rows = spark.range(m.n_rows).withColumnRenamed("id", "row_id").join(cells, "row_id", "left")
+    return rows.select(F.col("row_id").alias(id), F.coalesce(vec, F.array_repeat(zero, m.n_cols)).alias("vec"))
+
+
+def read_uns(path: str) -> tuple[dict, list[str]]:
+    """Unstructured entries that a manifest can hold (nested groups, texts, numbers, arrays as lists), and the names of those that are left out."""
+    found, left = {}, []
+    for name in _children(path):
+        own = f"{path}/{name}"
+        kind = attributes(own).get("encoding-type", "")
+        if kind in ("dict", "") and not _is_array(own):
+            inner, missed = read_uns(own)
+            found[name], left = inner, left + [f"{name}/{x}" for x in missed]
+        elif kind in ("string", "numeric-scalar", "array", "string-array") and _is_array(own):
+            values = Array(own).read()
+            found[name] = values.tolist()
+        else:
+            left.append(name)
+    return found, left
+
+
+def _is_array(path: str) -> bool:
+    return json.loads(Path(path, "zarr.json").read_text()).get("node_type") == "array"
+
+
 def load(spark: SparkSession, path: str, cfg: AppConfig) -> Annotated:
-    """An annotated-matrix group."""
+    """An annotated-matrix group with all its elements; warnings name what can't be read."""
     obs, var = (frame_from(spark, read_frame(f"{path}/{k}"), i) for k, i in (("obs", "row_id"), ("var", "col_id")))
-    layers = Path(path, "layers")
-    names = sorted(p.name for p in layers.iterdir() if (p / "zarr.json").exists()) if layers.is_dir() else []
-    return Annotated(obs, var, read_matrix(spark, f"{path}/X"), {k: read_matrix(spark, f"{path}/layers/{k}") for k in names}, kind="zarr")
+    out = Annotated(obs, var, read_matrix(spark, f"{path}/X") if os.path.exists(f"{path}/X") else None, {k: read_matrix(spark, f"{path}/layers/{k}") for k in _children(f"{path}/layers")}, kind="zarr")
+    if os.path.exists(f"{path}/raw/X"):
+        out.raw = read_matrix(spark, f"{path}/raw/X"), frame_from(spark, read_frame(f"{path}/raw/var"), "col_id")
+    readers = {"obsm": lambda p: read_vectors(spark, p, "row_id"), "varm": lambda p: read_vectors(spark, p, "col_id"), "obsp": lambda p: read_matrix(spark, p).entries(), "varp": lambda p: read_matrix(spark, p).entries()}
+    for group, read in readers.items():
+        for name in _children(f"{path}/{group}"):
+            try:
+                getattr(out, group)[name] = read(f"{path}/{group}/{name}")
+            except ConversionError as e:
+                out.warnings.append(f"{group}/{name} is left out: {e}")
+    out.uns, left = read_uns(f"{path}/uns")
+    out.warnings += [f"uns/{name} is left out: its encoding can't be kept" for name in left]
+    return out
 
 
 # -- export

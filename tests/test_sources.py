@@ -1,9 +1,11 @@
 import json
+import struct
 import sys
 
 import numpy as np
 import pandas as pd
 import pytest
+import zstandard
 from helpers import dense, small, table
 
 import matrixloom as ml
@@ -11,7 +13,7 @@ from matrixloom import cli
 from matrixloom.errors import ConversionError, ValidationError
 from matrixloom.plans import files
 from matrixloom.plans.store import Store
-from matrixloom.sources import hdf5, registry, zarr
+from matrixloom.sources import blosc, hdf5, registry, zarr
 from matrixloom.streaming.ingest import LAST, appender
 
 pytestmark = pytest.mark.filterwarnings("ignore")
@@ -55,6 +57,78 @@ def test_zarr_source(spark, tmp_path, layout):
     assert (dense(zarr.read_matrix(spark, str(tmp_path / "z/X"), 5)) == x).all()
 
 
+def blosc_buffer(raw, item, block, flags):
+    """A buffer of the format, by its description: zstd (number 4), filters by flags, streams of a block's bytes where it may be split."""
+    out, places = b"", []
+    count = -(-len(raw) // block)
+    for k in range(count):
+        part = np.frombuffer(raw[k * block : (k + 1) * block], np.uint8)
+        whole = len(part) // item * item
+        if flags & 1:
+            part = np.concatenate([part[:whole].reshape(-1, item).T.ravel(), part[whole:]])
+        elif flags & 4:
+            whole = len(part) // (8 * item) * 8 * item
+            bits = np.unpackbits(part[:whole].reshape(-1, item), axis=1, bitorder="little")
+            part = np.concatenate([np.packbits(bits.T, axis=1, bitorder="little").ravel(), part[whole:]])
+        places.append(16 + 4 * count + len(out))
+        split = not flags & 16 and item <= 16 and len(part) == block and block // item >= 128
+        for s in np.split(part, item) if split else [part]:
+            c = zstandard.compress(s.tobytes())
+            c = c if len(c) < len(s) else s.tobytes()
+            out += struct.pack("<i", len(c)) + c
+    body = struct.pack(f"<{count}I", *places) + out
+    return struct.pack("<BBBBIII", 2, 1, flags | 4 << 5, item, len(raw), block, 16 + len(body)) + body
+
+
+@pytest.mark.parametrize("flags", [0, 1, 4, 16, 17, 20])
+def test_blosc_buffers(flags):
+    rng = np.random.default_rng(flags)
+    for dtype, n, block in ((np.float32, 5000, 4096), (np.int64, 777, 2048), (np.int8, 300, 256), (np.float64, 3, 64), (np.uint16, 0, 64)):
+        x = np.where(rng.random(n) < 0.7, 0, rng.integers(0, 100, n)).astype(dtype)
+        assert np.array_equal(np.frombuffer(blosc.decode(blosc_buffer(x.tobytes(), x.itemsize, block, flags)), dtype), x)
+    plain = b"stored as it is"
+    assert blosc.decode(struct.pack("<BBBBIII", 2, 1, 2 | 4 << 5, 1, len(plain), 64, 16 + len(plain)) + plain) == plain
+    with pytest.raises(ConversionError, match="damaged"):
+        blosc.decode(blosc_buffer(b"x" * 5000, 1, 1024, flags)[:-9])
+    with pytest.raises(ConversionError, match="compressor"):
+        blosc.decode(struct.pack("<BBBBIII", 2, 1, 0, 1, 5, 5, 25) + b"\0" * 9)
+
+
+def test_zarr_elements_all_arrive(spark, tmp_path):
+    """A store compressed by blosc, with everything that goes with a matrix."""
+    root, x = tmp_path / "z", np.round(np.random.default_rng(2).random((7, 5)) * 4).astype(np.float32)
+    zarr_store(root, x)
+    pca, graph = np.arange(21, dtype=np.float32).reshape(7, 3) * (np.arange(7) != 4)[:, None], np.eye(7, k=1)
+    for group in ("obsm", "varm", "obsp", "uns", "raw", "layers"):
+        zarr.write_group(f"{root}/{group}", {"encoding-type": "dict"})
+    zarr.write_array(f"{root}/obsm/pca", pca, (4, 3), {"encoding-type": "array"})
+    zarr.write_array(f"{root}/varm/load", np.ones((5, 2)), None, {"encoding-type": "array"})
+    zarr.write_array(f"{root}/obsp/near", graph, (3, 3), {"encoding-type": "array"})
+    zarr.write_array(f"{root}/raw/X", x * 2, (3, 2), {"encoding-type": "array"})
+    zarr.write_group(f"{root}/raw/var", {"encoding-type": "dataframe", "_index": "_index", "column-order": []})
+    zarr.write_array(f"{root}/raw/var/_index", np.array([f"g{i}" for i in range(5)], object), None, {"encoding-type": "string-array"})
+    zarr.write_array(f"{root}/uns/colours", np.array(["red", "blue"], object), None, {"encoding-type": "string-array"})
+    zarr.write_group(f"{root}/uns/odd", {"encoding-type": "rec-array"})
+    zarr.write_group(f"{root}/obsm/table", {"encoding-type": "dataframe"})
+    for name in ("X/data", "X/indices", "X/indptr", "obsm/pca"):
+        folder = root / name
+        meta = json.loads((folder / "zarr.json").read_text())
+        meta["codecs"][1] = {"name": "blosc", "configuration": {"cname": "zstd", "clevel": 3, "shuffle": "shuffle", "typesize": 4, "blocksize": 0}}
+        (folder / "zarr.json").write_text(json.dumps(meta))
+        for chunk in (p for p in (folder / "c").rglob("*") if p.is_file()):
+            raw = zstandard.ZstdDecompressor().decompressobj().decompress(chunk.read_bytes())
+            chunk.write_bytes(blosc_buffer(raw, np.dtype(meta["data_type"]).itemsize, 64, 1))
+    with pytest.warns(UserWarning) as said:
+        ml.convert(spark, str(root), output=str(tmp_path / "s"))
+    assert sorted(str(w.message).split(" is")[0] for w in said if "left out" in str(w.message)) == ["obsm/table", "uns/odd"]
+    s = Store.open(spark, str(tmp_path / "s"))
+    assert (dense(s.matrix()) == x).all() and (dense(s.matrix("raw/X")) == x * 2).all() and s.frame("raw/var").n == 5
+    assert [list(r.vec) for r in s.table("obsm/pca").orderBy("row_id").collect()] == pca.tolist()
+    assert [list(r.vec) for r in s.table("varm/load").orderBy("col_id").collect()] == [[1.0, 1.0]] * 5
+    assert sorted((r.row_id, r.col_id, r.value) for r in s.table("obsp/near").collect()) == [(i, i + 1, 1.0) for i in range(6)]
+    assert s.uns == {"colours": ["red", "blue"]}
+
+
 def test_zarr_arrays_read_ranges_shards_and_fill(tmp_path):
     x = np.arange(35.0).reshape(7, 5)
     zarr.write_array(str(tmp_path / "a"), x, (3, 2))
@@ -72,9 +146,9 @@ def test_zarr_arrays_read_ranges_shards_and_fill(tmp_path):
     (tmp_path / "b/c/0/0").write_bytes(b"".join(inner) + index.tobytes() + b"\0\0\0\0")
     got = zarr.Array(str(tmp_path / "b")).read()
     assert (got[:2, :2] == x[:2, :2]).all() and (got[:2, 2:] == x[:2, 2:4]).all() and not got[2:].any()
-    meta["codecs"] = [{"name": "bytes"}, {"name": "blosc"}]
+    meta["codecs"] = [{"name": "bytes"}, {"name": "unheard-of"}]
     (tmp_path / "b/zarr.json").write_text(json.dumps(meta))
-    with pytest.raises(ConversionError, match="blosc"):
+    with pytest.raises(ConversionError, match="unheard-of"):
         zarr.Array(str(tmp_path / "b")).read()
     with pytest.raises(ConversionError):
         zarr.Array(str(tmp_path / "absent"))
@@ -158,15 +232,19 @@ def test_stream_appends_each_batch_once(spark, tmp_path):
     _, a = small(spark)
     path = str(tmp_path / "s")
     ml.convert(spark, a, output=path)
-    run = appender(path, "r", "c", "v")
-    batch = spark.createDataFrame([("n1", "gene0", 2.0), ("n1", "gene0", 3.0), ("n2", "gene5", 1.0), ("n2", "absent", 1.0)], "r string, c string, v double")
+    with pytest.raises(ValidationError, match="1 entries in columns"):
+        appender(path, "r", "c", "v")(spark.createDataFrame([("n", "absent", 1.0)], "r string, c string, v double"), 0)
+    with pytest.raises(ValidationError, match="unknown"):
+        appender(path, "r", "c", "v", unknown="drop")
+    run = appender(path, "r", "c", "v", unknown="skip")
+    batch = spark.createDataFrame([("n1", "col-0", 2.0), ("n1", "col-0", 3.0), ("n2", "col-5", 1.0), ("n2", "absent", 1.0)], "r string, c string, v double")
     run(batch, 0)
     run(batch, 0)
     s = Store.open(spark, path)
     x = dense(s.matrix())
     assert s.n_obs == 14 and x[12, 0] == 5 and x[13, 5] == 1 and s.uns[LAST] == 0
     source, target = str(tmp_path / "in"), str(tmp_path / "cp")
-    spark.createDataFrame([("n3", "gene1", 4.0)], "r string, c string, v double").write.parquet(source)
+    spark.createDataFrame([("n3", "col-1", 4.0)], "r string, c string, v double").write.parquet(source)
     stream = spark.readStream.schema("r string, c string, v double").parquet(source).writeStream.foreachBatch(lambda df, i: run(df, i + 1)).option("checkpointLocation", target).trigger(availableNow=True).start()
     stream.awaitTermination(120)
     assert Store.open(spark, path).n_obs == 15

@@ -32,7 +32,7 @@ def test_convert_keeps_everything(spark, tmp_path, layout):
     s = Store.open(spark, path)
     assert s.matrix().layout == layout and (dense(s.matrix()) == x).all() and (dense(s.matrix("layers/counts")) == x).all()
     assert s.matrix_keys() == ["X", "layers/counts", "raw/X"] and s.uns == {"note": {"made": "here"}}
-    assert s.frame("obs").column("kind").categories == ("c", "b", "a")
+    assert s.frame("obs").column("kind").categories == ("tall", "short", "mid")
     assert s.table("obsp/distances").count() == 12 * 12 - 1
     assert verified(s)["X"] == (x != 0).sum()
 
@@ -82,7 +82,7 @@ def test_concat(spark, tmp_path):
     ml.convert(spark, [a, b], output=path)
     s = Store.open(spark, path)
     assert (dense(s.matrix()) == np.vstack([x, y])).all()
-    assert table(s.frame("obs")).name.tolist() == [f"cell0_{i}" for i in range(5)] + [f"cell1_{i}" for i in range(4)]
+    assert table(s.frame("obs")).name.tolist() == [f"row-0-{i}" for i in range(5)] + [f"row-1-{i}" for i in range(4)]
     c = small(spark, 4, seed=2, obs={"extra": [1, 2, 3, 4]})[1]
     with pytest.raises(ValidationError):
         ml.convert(spark, [a, c], output=str(tmp_path / "t"))
