@@ -137,6 +137,11 @@ class Matrix:
         n = self.n_cols if axis == "col_id" else self.n_rows
         return self.entries().groupBy(F.floor(F.col(axis) * cells / n).cast("bigint").alias("cell")).agg(F.count("*").alias("nnz"))
 
+    def band_group_nnz(self, groups: DataFrame, band: int) -> DataFrame:
+        """(band, group, nnz): entries by band of that many columns and group of rows; groups is (row_id, group). One shuffle of sums a task."""
+        counts = self.entries().select("row_id", F.floor(F.col("col_id") / band).cast("bigint").alias("band")).groupBy("row_id", "band").agg(F.count("*").alias("n"))
+        return counts.join(groups.select("row_id", "group"), "row_id").groupBy("band", "group").agg(F.sum("n").cast("bigint").alias("nnz"))
+
     def numbered(self) -> DataFrame:
         """entries with position: the place of each entry in row order, as flat arrays have it."""
         packed = self.to("csr")

@@ -317,26 +317,26 @@ def concat_store(spark, sf_dir):
     return Store.open(spark, path).matrix().entries()
 
 
-@query("WITH store AS (SELECT DISTINCT user_id AS name FROM events WHERE event_type = 'click' AND value < 5), inc AS (SELECT event_id, user_id AS name, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_type = 'view' AND value < 3) SELECT CAST(COUNT(*) AS BIGINT) AS n_new, CAST(COALESCE(SUM(CASE WHEN rn > 1 OR name IN (SELECT name FROM store) THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_dup FROM inc")
+@query("WITH store AS (SELECT DISTINCT user_id AS name FROM events WHERE event_type = 'click'), inc AS (SELECT event_id, user_id AS name, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_type = 'view') SELECT CAST(COUNT(*) AS BIGINT) AS n_new, CAST(COALESCE(SUM(CASE WHEN rn > 1 OR name IN (SELECT name FROM store) THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_dup FROM inc")
 def dup_names(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
-    incoming = events.where("event_type = 'view' AND value < 3").select("event_id", F.col("user_id").alias("name"))
-    marked = frames.duplicate_names(incoming, "name", "event_id", events.where("event_type = 'click' AND value < 5").select("user_id"))
+    incoming = events.where("event_type = 'view'").select("event_id", F.col("user_id").alias("name"))
+    marked = frames.duplicate_names(incoming, "name", "event_id", events.where("event_type = 'click'").select("user_id"))
     return marked.agg(F.count("*").alias("n_new"), F.coalesce(F.sum(F.col("duplicate").cast("bigint")), F.lit(0)).cast("bigint").alias("n_dup"))
 
 
-_DICT = "d AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS code FROM (SELECT DISTINCT p_brand AS label FROM part WHERE p_partkey < 12) x)"
+_DICT = "d AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS code FROM (SELECT DISTINCT p_brand AS label FROM part WHERE p_brand < 'Brand#3') x)"
 
 
 def _brands(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return part, frames.dictionary(part.where("p_partkey < 12"), "p_brand")
+    return part, frames.dictionary(part.where("p_brand < 'Brand#3'"), "p_brand")
 
 
-@query("WITH d AS (SELECT DISTINCT p_brand AS label FROM part WHERE p_partkey < 12), i AS (SELECT p_brand AS label, MIN(p_partkey) AS first_seen FROM part WHERE p_partkey >= 12 GROUP BY p_brand) SELECT i.label, CAST((SELECT COUNT(*) FROM d) + row_number() OVER (ORDER BY i.first_seen) - 1 AS BIGINT) AS code FROM i WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.label = i.label)")
+@query("WITH d AS (SELECT DISTINCT p_brand AS label FROM part WHERE p_brand < 'Brand#3'), i AS (SELECT p_brand AS label, MIN(p_partkey) AS first_seen FROM part GROUP BY p_brand) SELECT i.label, CAST((SELECT COUNT(*) FROM d) + row_number() OVER (ORDER BY i.first_seen) - 1 AS BIGINT) AS code FROM i WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.label = i.label)")
 def new_labels(spark, sf_dir):
     part, codes = _brands(spark, sf_dir)
-    return frames.new_labels(part.where("p_partkey >= 12"), "p_brand", "p_partkey", codes)
+    return frames.new_labels(part, "p_brand", "p_partkey", codes)
 
 
 @query(f"WITH {_DICT} SELECT p.p_partkey, COALESCE(d.code, -1) AS code FROM part p LEFT JOIN d ON p.p_brand = d.label")
@@ -352,9 +352,9 @@ def code_to_label(spark, sf_dir):
     return frames.labels_of(coded, "code", codes, "label").select("p_partkey", "label")
 
 
-@query("SELECT p_brand AS label, MIN(p_partkey) AS first_seen FROM part GROUP BY p_brand")
+@query("SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS code FROM (SELECT DISTINCT p_name AS label FROM part) x")
 def distinct_labels(spark, sf_dir):
-    return _table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("label")).agg(F.min("p_partkey").alias("first_seen"))
+    return frames.dictionary(_table(spark, sf_dir, "part"), "p_name")
 
 
 @query("SELECT CAST(COUNT(*) AS BIGINT) AS n, COUNT(DISTINCT p_brand) < COUNT(*) AS brand_is_categorical, COUNT(DISTINCT p_name) < COUNT(*) AS name_is_categorical FROM part")
@@ -414,6 +414,12 @@ def code_widths(spark, sf_dir):
     return spark.createDataFrame([(n, code_width(n)) for n in (1, 128, 129, 32768, 32769)], "n bigint, width string")
 
 
+@query(WITH + "SELECT CAST(FLOOR(e.col_id / 16.0) AS BIGINT) AS band, o.o_orderpriority AS \"group\", CAST(COUNT(*) AS BIGINT) AS nnz FROM e JOIN o ON e.row_id = o.row_id GROUP BY 1, 2")
+def band_group_counts(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return _matrix(spark, sf_dir, rows).band_group_nnz(rows.select("row_id", F.col("o_orderpriority").alias("group")), 16)
+
+
 # -- stores
 
 
@@ -471,13 +477,46 @@ def add_layer(spark, sf_dir):
     return Store.open(spark, path).matrix("layers/by_supplier").entries()
 
 
-@query(WITH.strip() + ", x AS (SELECT row_id, col_id, value FROM e WHERE FALSE) SELECT row_id, col_id, value FROM x")
+@query(WITH + "SELECT row_id, col_id, value FROM e")
 def add_layer_roundtrip(spark, sf_dir):
     path = _store(spark, sf_dir, "layers")
     ops.add_layer(spark, path, layer="copy", layout="dense", cfg=AppConfig(chunks=ChunkConfig(row_chunk=512, col_chunk=64)))
-    store = Store.open(spark, path)
-    x, layer = store.matrix().entries(), store.matrix("layers/copy").entries()
-    return x.exceptAll(layer).union(layer.exceptAll(x))
+    return Store.open(spark, path).matrix("layers/copy").entries()
+
+
+def _layers_appended(spark, sf_dir, layout: str) -> DataFrame:
+    """The entries of a layer of that layout, after an append to it."""
+    path, cells = _store(spark, sf_dir, "store", where="o_orderstatus = 'F'"), _store(spark, sf_dir, "cells", where="o_orderstatus = 'O'")
+    for p in (path, cells):
+        ops.add_layer(spark, p, layer="copy", layout=layout)
+    _quietly(ops.append, spark, path, cells=cells)
+    return Store.open(spark, path).matrix("layers/copy").entries()
+
+
+@query(WITH.strip() + ", " + _STACKED)
+def append_dense_layer(spark, sf_dir):
+    return _layers_appended(spark, sf_dir, "dense")
+
+
+@query(WITH.strip() + ", " + _STACKED)
+def append_csc_layer(spark, sf_dir):
+    return _layers_appended(spark, sf_dir, "csc")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY o_orderstatus, o_orderkey) - 1 AS BIGINT) AS row_id, CAST(o_orderkey AS VARCHAR) AS name, o_orderpriority AS priority, o_orderstatus AS status, o_orderkey AS key FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def append_obs(spark, sf_dir):
+    path, cells = _store(spark, sf_dir, "store", where="o_orderstatus = 'F'"), _store(spark, sf_dir, "cells", where="o_orderstatus = 'O'")
+    _quietly(ops.append, spark, path, cells=cells)
+    return Store.open(spark, path).frame("obs").df.select("row_id", "name", "priority", "status", "key")
+
+
+@query(WITH + "SELECT row_id, col_id, value FROM e")
+def zarr_round_trip(spark, sf_dir):
+    from ..sources import zarr  # sources import plans
+
+    path = _place(spark, "zarr").removeprefix("file://")
+    zarr.export_matrix(_matrix(spark, sf_dir), path, 1 << 16)
+    return zarr.read_matrix(spark, path).entries()
 
 
 # -- versions
@@ -525,3 +564,22 @@ def deferred_commit(spark, sf_dir):
 @query("SELECT * FROM (VALUES (0, 'append'), (1, 'convert'), (2, 'Repository initialized')) AS t(age, message)")
 def repo_log(spark, sf_dir):
     return _repo(spark, sf_dir).log_df().select("age", "message")
+
+
+@query(WITH.strip() + ", " + _STACKED)
+def repo_copy(spark, sf_dir):
+    return _repo(spark, sf_dir).copy(_place(spark, "copy")).store().matrix().entries()
+
+
+@query(WITH.strip() + ", " + _F_ONLY)
+def repo_discard(spark, sf_dir):
+    repo = Repo.create(spark, _place(spark, "repo"))
+    _quietly(ops.convert, spark, _annotated(spark, sf_dir, "o_orderstatus = 'F'"), output=repo)
+    _quietly(ops.append, spark, repo, cells=_store(spark, sf_dir, "cells", where="o_orderstatus = 'O'"), commit=False)
+    repo.discard()
+    return repo.store().matrix().entries()
+
+
+@query(WITH + "SELECT CAST(row_id AS BIGINT) AS row_id, CAST(o_orderkey AS VARCHAR) AS name FROM o")
+def repo_init(spark, sf_dir):
+    return Repo.init(spark, _place(spark, "repo"), _store(spark, sf_dir, "convert")).store().frame("obs").df.select("row_id", "name")
