@@ -9,11 +9,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import StorageError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this machine, gone at the end, only where that isn't set."""
+    """spark.checkpoint.dir; where that isn't set and all runs on this machine, a folder of its own, gone at the end."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise StorageError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="matrixloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)

@@ -1,7 +1,8 @@
 """Global ordinals and prefix sums without a global window.
 
 Rows are range-partitioned and sorted by unique keys, numbered within their partition, and written once; partition totals (a row
-for each partition) become offsets. Nothing passes through a single task, and the second pass has no shuffle.
+for each partition) become offsets. Nothing passes through a single task. Ordinals need no second shuffle; prefix sums
+shuffle the numbered rows once more, by partition.
 """
 
 from __future__ import annotations
