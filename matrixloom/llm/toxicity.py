@@ -204,12 +204,14 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
                 for d, (n, own, words, lead) in enumerate(_scan(part, offsets[i : j + 1] - offsets[i], m.weights)):
                     scores.append(m.chance(max((s for s, _, _ in own), default=0.0), n))
                     found = []
-                    base = int(offsets[i + d] - offsets[i])
+                    base, past = (int(offsets[i + d + x] - offsets[i]) for x in (0, 1))
+                    chars = None  # code points before each byte of the text, once it has a passage
                     for s, first, last in own:
                         if (e := m.expected(s, n)) <= significant:
-                            a, b = int(words.starts[lead + first]), int(words.ends[lead + last])
-                            chars = [int(np.count_nonzero((part[base:x] & 0xC0) != 0x80)) for x in (a, b)]
-                            found.append({"start": chars[0], "end": chars[1], "score": s, "expected": e})
+                            if chars is None:
+                                chars = np.concatenate(([0], np.cumsum((part[base:past] & 0xC0) != 0x80)))
+                            a, b = int(words.starts[lead + first]) - base, int(words.ends[lead + last]) - base
+                            found.append({"start": int(chars[a]), "end": int(chars[b]), "score": s, "expected": e})
                     passages.append(found)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(passages, _ARROW)], [key, "score", "predicted", "passages"])
 
