@@ -100,7 +100,7 @@ def test_sort_moves_everything_together(spark, tmp_path):
     ml.sort(spark, path, output=out, by=["kind", "tag"])
     old, new = Store.open(spark, path), Store.open(spark, out)
     obs = table(old.frame("obs"))
-    order = pd.DataFrame({"k": [("c", "b", "a").index(v) for v in obs.kind], "t": obs.tag}).sort_values(["k", "t"], kind="stable").index.to_numpy()
+    order = pd.DataFrame({"k": [("tall", "short", "mid").index(v) for v in obs.kind], "t": obs.tag}).sort_values(["k", "t"], kind="stable").index.to_numpy()
     assert table(new.frame("obs")).name.tolist() == obs.name[order].tolist()
     for key in ("X", "layers/counts", "raw/X"):
         assert (dense(new.matrix(key)) == dense(old.matrix(key))[order]).all()
