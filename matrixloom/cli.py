@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import sys
 import warnings
 
 from . import __version__
 from .config import LAYOUTS, AppConfig, apply_overrides
 from .errors import LoomError, ValidationError
+from .functions.runtime import usable_cpus
 
 
 def parser() -> argparse.ArgumentParser:
@@ -34,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     def chunks(p: argparse.ArgumentParser) -> None:
         for name in ("row-chunk", "col-chunk", "nnz-chunk", "clevel"):
             p.add_argument(f"--{name}", type=int)
+        p.add_argument("--auto-shard", action="store_true", default=None, help="files of many chunks, as large as a band's budget allows")
 
     p = command("convert", "make a store of one input, or of several stacked by rows")
     p.add_argument("inputs", nargs="+")
@@ -43,6 +46,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--layout", choices=LAYOUTS)
     p.add_argument("--sort-by", nargs="+")
     p.add_argument("--obs-columns", nargs="+")
+    p.add_argument("--eager", dest="lazy", action="store_false", default=None, help="read the input once, into the shared folder, before anything else")
     p = command("rechunk", "copy a store with one matrix on another chunk grid")
     p.add_argument("store")
     output(p)
@@ -71,7 +75,9 @@ def _session(cpus: int | None):
     from pyspark.sql import SparkSession
 
     builder = SparkSession.builder.appName("matrixloom")
-    return (builder.master(f"local[{cpus}]") if cpus else builder).getOrCreate()
+    if cpus or not (SparkSession.getActiveSession() or os.environ.get("SPARK_CONF_DIR") or os.environ.get("MASTER") or os.environ.get("SPARK_REMOTE")):
+        builder = builder.config("spark.master", f"local[{cpus or usable_cpus()}]")
+    return builder.getOrCreate()
 
 
 def _agree(args, spark) -> bool:
@@ -95,10 +101,11 @@ def main(argv: list[str] | None = None) -> int:
         idle = {"csr": "col_chunk", "csc": "row_chunk"}.get(layout or "csr")
         if idle and getattr(args, idle) is not None:
             parser().error(f"--{idle.replace('_', '-')} has no effect on {layout or 'csr'} output")
-    logging.basicConfig(level=logging.INFO if args.verbose else logging.WARNING)
+    logging.basicConfig(level=logging.WARNING, format="%(asctime)s %(name)s: %(message)s")
+    logging.getLogger("matrixloom").setLevel(logging.INFO if args.verbose else logging.WARNING)
     try:
-        names = ("overwrite", "backend", "layout", "row_chunk", "col_chunk", "nnz_chunk", "clevel", "sort_by", "obs_columns", "cpus")
-        cfg = apply_overrides(AppConfig(), **{n: getattr(args, n, None) or None if n != "clevel" else getattr(args, n, None) for n in names if not (args.command == "add-layer" and n == "overwrite")})
+        names = ("overwrite", "backend", "layout", "lazy", "row_chunk", "col_chunk", "nnz_chunk", "clevel", "auto_shard", "sort_by", "obs_columns", "cpus")
+        cfg = apply_overrides(AppConfig(), **{n: getattr(args, n, None) for n in names if not (args.command == "add-layer" and n == "overwrite")})
         from .plans import ops
 
         spark = _session(args.cpus)

@@ -17,7 +17,6 @@ DEFAULT_LEVEL = 3
 @dataclass(frozen=True)
 class IOConfig:
     overwrite: bool = False
-    consolidate_metadata: bool = True
     layout: str = "csr"
     lazy: bool = True
     backend: str = "plain"

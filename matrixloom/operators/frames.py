@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
@@ -110,13 +112,23 @@ def same_names(a: DataFrame, b: DataFrame, id: str) -> bool:
     return not left.join(right, id, "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).limit(1).count()
 
 
-def sort_keys(frame: Frame, by: list[str]) -> list:
-    """Sort expressions: a category's place for categorical columns, the value for others; missing ones first. NaN is refused by the caller."""
-    out = []
-    for name in by:
-        c = frame.column(name)
-        out.append(F.coalesce(F.array_position(F.lit(list(c.categories)), F.col(name)), F.lit(0)) if c.encoding == "categorical" and c.categories else F.col(name))
-    return out
+def label_table(spark: SparkSession, labels: Sequence[str]) -> DataFrame:
+    """(label, place): labels of a manifest with their places from 1, as a table to join; Spark broadcasts it if it is small."""
+    return spark.createDataFrame(pa.table({"label": pa.array(list(labels), pa.string()), "place": pa.array(range(1, len(labels) + 1), pa.int32())}))
+
+
+def with_sort_keys(frame: Frame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    """The frame's rows with columns to sort by: a category's place, the value of others; missing ones first. NaN is refused by the caller."""
+    df, keys = frame.df, []
+    for i, name in enumerate(by):
+        c, key = frame.column(name), f"_key{i}"
+        if c.encoding == "categorical" and c.categories:
+            places = label_table(df.sparkSession, c.categories).toDF(f"_label{i}", f"_place{i}")
+            df = df.join(places, F.col(name) == F.col(f"_label{i}"), "left").withColumn(key, F.coalesce(f"_place{i}", F.lit(0))).drop(f"_label{i}", f"_place{i}")
+        else:
+            df = df.withColumn(key, F.col(name))
+        keys.append(key)
+    return df, keys
 
 
 @dataclass(frozen=True)
@@ -155,8 +167,9 @@ def plan_columns(store: Frame, cells: Frame, *, include_new: bool = False) -> Co
                     raise ValidationError(f"ordered categories of {c.name!r} differ")
             else:
                 known = set(c.categories)
-                seen = cells.df.where(F.col(c.name).isNotNull()).groupBy(c.name).agg(F.min(cells.id).alias("_f"))
-                fresh = [r[0] for r in seen.where(~F.col(c.name).isin(*known) if known else F.lit(True)).orderBy("_f").limit(MAX_LABELS + 1).collect()] if labels is None or labels - known else []
+                seen = cells.df.where(F.col(c.name).isNotNull()).groupBy(F.col(c.name).alias("label")).agg(F.min(cells.id).alias("_f"))
+                unseen = seen.join(label_table(cells.df.sparkSession, c.categories), "label", "left_anti")
+                fresh = [r[0] for r in unseen.orderBy("_f").limit(MAX_LABELS + 1).collect()] if labels is None or labels - known else []
                 if len(fresh) + len(known) > MAX_LABELS:
                     raise ValidationError(f"column {c.name!r} would have more than {MAX_LABELS} categories")
                 if fresh:
@@ -186,9 +199,15 @@ def plan_columns(store: Frame, cells: Frame, *, include_new: bool = False) -> Co
 
 def extend(store: Frame, cells: Frame, plan: ColumnPlan) -> Frame:
     """The store's rows and the cells' after them, with the plan's columns; what a side lacks is missing there."""
-    def side(frame: Frame, shift: int) -> DataFrame:
-        kinds = dict(frame.df.dtypes)
-        columns = [F.col(c.name) if c.name in kinds else (F.lit(float("nan")) if c.type in ("float", "double") else F.lit(None)).cast(c.type).alias(c.name) for c in plan.columns]
-        return frame.df.select((F.col(frame.id) + F.lit(shift).cast("bigint")).alias(store.id), "name", *columns)
+    return Frame(_fitted(store, store.id, 0, plan).unionByName(added_rows(store, cells, plan)), store.id, store.n + cells.n, plan.columns)
+
+
+def added_rows(store: Frame, cells: Frame, plan: ColumnPlan) -> DataFrame:
+    """The cells' rows as they go below the store's."""
+    return _fitted(cells, store.id, store.n, plan)
+
 
-    return Frame(side(store, 0).unionByName(side(cells, store.n)), store.id, store.n + cells.n, plan.columns)
+def _fitted(frame: Frame, id: str, shift: int, plan: ColumnPlan) -> DataFrame:
+    kinds = dict(frame.df.dtypes)
+    columns = [F.col(c.name) if c.name in kinds else (F.lit(float("nan")) if c.type in ("float", "double") else F.lit(None)).cast(c.type).alias(c.name) for c in plan.columns]
+    return frame.df.select((F.col(frame.id) + F.lit(shift).cast("bigint")).alias(id), "name", *columns)

@@ -15,6 +15,8 @@ from .ordinals import with_prefix_sum
 #: Bytes of a band, and what writing adds to it.
 BAND_BYTES = 512 << 20
 WRITE_COPY = 0.85
+#: Bytes of a value; wider types (decimals) take 16.
+ITEM_BYTES = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8}
 
 
 def dense_chunks(n_rows: int, n_cols: int, cfg: ChunkConfig) -> tuple[int, int]:
@@ -42,6 +44,21 @@ def rows_per_file(nnz: int, n_major: int, cfg: ChunkConfig, layout: str) -> int:
     return max(1, math.ceil(chunk * max(n_major, 1) / max(nnz, 1)))
 
 
+def item_bytes(dtype: str) -> int:
+    return ITEM_BYTES.get(dtype, 16)
+
+
+def auto_factor(chunk_bytes: float, budget: int = BAND_BYTES) -> int:
+    """How many chunks a file holds under auto_shard: what a band's budget has room for, at least one."""
+    return max(1, int(budget / (max(chunk_bytes, 1) * (1 + WRITE_COPY))))
+
+
+def rows_per_partition(n_major: int, major_bytes: float, cpus: int, grain: int = 1) -> int:
+    """Rows (columns) that one task of a source reads: the first of plan_bands."""
+    bands = plan_bands(n_major, major_bytes, cpus=cpus, grain=grain)
+    return bands[0][1] if bands else 1
+
+
 def check_chunk_axis(cfg: ChunkConfig, layout: str) -> list[str]:
     """Warns of chunk settings that the layout doesn't use."""
     idle = {"csr": ["col_chunk"], "csc": ["row_chunk"], "dense": []}[layout]

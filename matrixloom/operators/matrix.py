@@ -144,9 +144,15 @@ class Matrix:
 
     def numbered(self) -> DataFrame:
         """entries with position: the place of each entry in row order, as flat arrays have it."""
+        return self._numbered()
+
+    def _numbered(self, start: int | None = None, end: int | None = None) -> DataFrame:
+        """numbered(), of all entries or of those packed rows that reach into positions [start, end)."""
         packed = self.to("csr")
-        starts = with_prefix_sum(packed.df.select("row_id", "part", F.size("indices").alias("_n")), ["row_id", "part"], "_n", "_start").select("row_id", "part", "_start")
-        flat = packed.df.join(starts, ["row_id", "part"]).select("row_id", "_start", F.posexplode(F.arrays_zip("indices", "data")).alias("_i", "_x"))
+        starts = with_prefix_sum(packed.df.select("row_id", "part", F.size("indices").alias("_n")), ["row_id", "part"], "_n", "_start")
+        if start is not None:
+            starts = starts.where((F.col("_start") < end) & (F.col("_start") + F.col("_n") > start))
+        flat = packed.df.join(starts.select("row_id", "part", "_start"), ["row_id", "part"]).select("row_id", "_start", F.posexplode(F.arrays_zip("indices", "data")).alias("_i", "_x"))
         return flat.select("row_id", F.col("_x.indices").cast("bigint").alias("col_id"), F.col("_x.data").alias("value"), (F.col("_start") + F.col("_i")).alias("position"))
 
     # -- selections
@@ -165,8 +171,8 @@ class Matrix:
         return replace(self, df=replace(self, df=pruned).entries().where(F.col("col_id").between(start, end - 1)), layout="entries")
 
     def flat(self, start: int, end: int) -> DataFrame:
-        """The entries at positions [start, end) of the flat arrays."""
-        return self.numbered().where(F.col("position").between(start, end - 1))
+        """The entries at positions [start, end) of the flat arrays; only packed rows that reach into them are unpacked."""
+        return self._numbered(start, end).where(F.col("position").between(start, end - 1))
 
     def block(self, r0: int, r1: int, c0: int, c1: int) -> DataFrame:
         """(row_id, col_id, value) for every cell of a rectangle; ranges come before the grid."""

@@ -519,6 +519,35 @@ def zarr_round_trip(spark, sf_dir):
     return zarr.read_matrix(spark, path).entries()
 
 
+@query(WITH + "SELECT row_id, col_id, value FROM e")
+def tables_source(spark, sf_dir):
+    from ..sources.registry import open_source  # sources import plans
+
+    path, a = _place(spark, "tables"), _annotated(spark, sf_dir)
+    for name, df in (("entries", a.X.entries()), ("obs", a.obs.df), ("var", a.var.df)):
+        df.write.parquet(f"{path}/{name}.parquet")
+    return open_source(spark, path).X.entries()
+
+
+@query(
+    WITH.strip()
+    + """, f AS (SELECT row_id AS rid, CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS r FROM o WHERE o_orderstatus = 'F'),
+t AS (SELECT DISTINCT e.row_id AS rid, CAST(o.o_orderkey AS VARCHAR) AS name FROM e JOIN o ON e.row_id = o.row_id WHERE o.o_orderstatus = 'O'),
+u AS (SELECT rid, CAST(row_number() OVER (ORDER BY name) - 1 AS BIGINT) AS r FROM t),
+n AS (SELECT CAST(COUNT(*) AS BIGINT) AS c FROM f) SELECT f.r AS row_id, e.col_id, e.value FROM e JOIN f ON e.row_id = f.rid UNION ALL SELECT u.r + n.c AS row_id, e.col_id, e.value FROM e JOIN u ON e.row_id = u.rid CROSS JOIN n"""
+)
+def stream_append(spark, sf_dir):
+    from ..streaming.ingest import appender  # streaming imports plans
+
+    path, source = _store(spark, sf_dir, "store", where="o_orderstatus = 'F'"), _place(spark, "stream")
+    lines, orders, suppliers = (_table(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier"))
+    facts = lines.join(orders.where("o_orderstatus = 'O'"), F.expr("l_orderkey = o_orderkey")).join(suppliers, F.expr("l_suppkey = s_suppkey")).select("o_orderkey", "s_name", "l_quantity")
+    facts.write.parquet(source)
+    stream = spark.readStream.schema(facts.schema).parquet(source).writeStream.foreachBatch(lambda df, i: _quietly(appender(path, "o_orderkey", "s_name", "l_quantity"), df, i))
+    stream.option("checkpointLocation", _place(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return Store.open(spark, path).matrix().entries()
+
+
 # -- versions
 
 
@@ -580,6 +609,14 @@ def repo_discard(spark, sf_dir):
     return repo.store().matrix().entries()
 
 
+@query(WITH + "SELECT row_id, col_id, value FROM e")
+def origin_split(spark, sf_dir):
+    origin = Repo.init(spark, _place(spark, "repo"), _store(spark, sf_dir, "convert"))
+    repo = Repo(spark, origin.copy(_place(spark, "mirror")).path, origin=origin.path)
+    ops.add_layer(spark, repo, layer="copy", layout="csr")
+    return origin.store().matrix("layers/copy").entries()
+
+
 @query(WITH + "SELECT CAST(row_id AS BIGINT) AS row_id, CAST(o_orderkey AS VARCHAR) AS name FROM o")
 def repo_init(spark, sf_dir):
     return Repo.init(spark, _place(spark, "repo"), _store(spark, sf_dir, "convert")).store().frame("obs").df.select("row_id", "name")

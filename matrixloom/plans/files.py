@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 from ..errors import StorageError
@@ -12,6 +15,12 @@ from ..errors import StorageError
 _SCHEME = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*)://")
 
 
+# How each storage is logged in to, and the settings of its connector that read without credentials.
+LOGIN = {"s3": "`aws sso login`, AWS_* variables or an instance role", "s3a": "`aws sso login`, AWS_* variables or an instance role", "gs": "`gcloud auth application-default login`", "gcs": "`gcloud auth application-default login`"}
+_S3_ANONYMOUS = {"fs.s3a.aws.credentials.provider": "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider"}
+ANONYMOUS = {"s3": _S3_ANONYMOUS, "s3a": _S3_ANONYMOUS, "gs": {"fs.gs.auth.type": "UNAUTHENTICATED"}, "gcs": {"fs.gs.auth.type": "UNAUTHENTICATED"}}
+
+
 def scheme(path: str) -> str:
     """The scheme of a URI, `file` for a plain path."""
     found = _SCHEME.match(path)
@@ -39,13 +48,35 @@ def name_of(path: str) -> str:
 
 
 class Files:
-    """Reads and writes below a root. Creation without overwriting is the only primitive that concurrent writers need."""
+    """Reads and writes below a root. Creation without overwriting is the only primitive that concurrent writers need.
+
+    HDFS and local folders create atomically. On object stores two writers can both believe that they created a file, unless the
+    connector creates conditionally; let one writer at a time commit there. anonymous: read public data without credentials.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, *, anonymous: bool = False):
         self.spark, self.root = spark, canonical(root)
+        self.options = dict(ANONYMOUS.get(scheme(root), {})) if anonymous else {}
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._path("").getFileSystem(self._conf)
+        with self._explained():
+            if self.options:
+                self._conf = self._jvm.org.apache.hadoop.conf.Configuration(self._conf)
+                for name, value in self.options.items():
+                    self._conf.set(name, value)
+                self._fs = self._jvm.org.apache.hadoop.fs.FileSystem.newInstance(self._path("").toUri(), self._conf)  # not the cached one
+            else:
+                self._fs = self._path("").getFileSystem(self._conf)
+
+    @contextmanager
+    def _explained(self):
+        """A failure to reach the storage as a StorageError that says how to log in."""
+        try:
+            yield
+        except Py4JError as e:
+            how = LOGIN.get(scheme(self.root))
+            hint = f". Credentials come from the environment: {how}; or pass anonymous=True for public data" if how else ""
+            raise StorageError(f"{self.root} can't be reached: {_reason(e)}{hint}") from e
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -54,13 +85,15 @@ class Files:
         return f"{self.root}/{name}" if name else self.root
 
     def exists(self, name: str = "") -> bool:
-        return self._fs.exists(self._path(name))
+        with self._explained():
+            return self._fs.exists(self._path(name))
 
     def names(self, name: str = "") -> list[str]:
         """What lies in a folder, in order; nothing if there is none."""
         if not self.exists(name):
             return []
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(name)))
+        with self._explained():
+            return sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(name)))
 
     def read(self, name: str) -> dict:
         try:
@@ -99,11 +132,24 @@ class Files:
     def delete(self, name: str = "") -> None:
         self._fs.delete(self._path(name), True)
 
-    def copy_tree(self, other: Files) -> None:
-        """Copies all files to another root, byte by byte."""
-        if not self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs, self._path(""), other._fs, other._path(""), False, False, self._conf):
-            raise StorageError(f"{self.root} can't be copied to {other.root}")
+    def copy_tree(self, other: Files, *, last: tuple[str, ...] = (), threads: int = 16) -> None:
+        """Copies all files to another root, byte by byte, several at a time; names that begin with one of `last` come after all others, in order."""
+        found, names = self._fs.listFiles(self._path(""), True), []
+        base = self._fs.makeQualified(self._path("")).toString().rstrip("/") + "/"
+        while found.hasNext():
+            names.append(found.next().getPath().toString().removeprefix(base))
+
+        def one(name: str) -> None:
+            if not self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs, self._path(name), other._fs, other._path(name), False, False, self._conf):
+                raise StorageError(f"{self.uri(name)} can't be copied to {other.root}")
+
+        rank = lambda name: next((i for i, x in enumerate(last) if name.startswith(x)), -1)
+        with ThreadPoolExecutor(threads) as pool:
+            list(pool.map(one, (x for x in names if rank(x) < 0)))
+        for name in sorted((x for x in names if rank(x) >= 0), key=lambda x: (rank(x), x)):
+            one(name)
 
 
 def _reason(e: Exception) -> str:
-    return str(e).split("\n")[0][:200]
+    cause = getattr(e, "java_exception", None)
+    return (cause.toString() if cause is not None else str(e)).split("\n")[0][:200]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import warnings
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from ..config import AppConfig, validated
 from ..errors import ConversionError, LoomError, StorageError, ValidationError
 from ..functions.lineage import stable
+from ..functions.runtime import stage
 from ..functions.scalar import lossless
-from ..operators.frames import ColumnPlan, Frame, duplicate_names, extend, plan_columns, same_names, sort_keys
+from ..operators.frames import ColumnPlan, Frame, added_rows, duplicate_names, extend, plan_columns, same_names, with_sort_keys
 from ..operators.layout import check_chunk_axis
 from ..operators.matrix import Matrix, sort_permutation
 from ..sources.annotated import Annotated, require_matrix
@@ -97,11 +99,14 @@ def _write(store: Store, a: Annotated, cfg: AppConfig) -> None:
     if a.raw:
         store.put_matrix("raw/X", a.raw[0], cfg)
         store.put_frame("raw/var", a.raw[1])
+        for name, df in a.raw_varm.items():
+            store.put_table(f"raw/varm/{name}", df)
     for group in ("obsm", "varm", "obsp", "varp"):
         for name, df in getattr(a, group).items():
             store.put_table(f"{group}/{name}", df)
 
 
+@stage("convert")
 def convert(spark: SparkSession, inputs, *, output, cfg: AppConfig | None = None, fmt: str | None = None, branch: str | None = None, message: str | None = None) -> OpResult:
     """One input into a store, or several stacked by rows. Inputs are paths, annotated matrices, or a list of them."""
     cfg = validated(cfg or AppConfig())
@@ -188,6 +193,7 @@ def stack_frames(frames: list[Frame], columns: tuple[str, ...] = ()) -> Frame:
 # -- rechunk
 
 
+@stage("rechunk")
 def rechunk(spark: SparkSession, store, *, output, matrix: str = "X", cfg: AppConfig | None = None, branch: str | None = None, message: str | None = None) -> OpResult:
     """A copy of a store with one matrix on another chunk grid, in its own layout; all else is copied as it is."""
     cfg = validated(cfg or AppConfig())
@@ -215,11 +221,11 @@ def permutation(obs: Frame, by: list[str]) -> DataFrame:
     """obs with new_row_id: its place in a stable sort by columns, categories in their own order."""
     if not by:
         raise ValidationError("sort needs at least one column")
-    keys = sort_keys(obs, by)
+    keyed, keys = with_sort_keys(obs, by)
     for name in by:
         if obs.column(name).type in ("float", "double") and obs.df.where(F.isnan(name)).limit(1).count():
             raise ValidationError(f"column {name!r} has NaN, which has no place in an order")
-    return sort_permutation(obs.df, keys)
+    return sort_permutation(keyed, keys).drop(*keys)
 
 
 def sorted_rows(a: Annotated, by: list[str]) -> Annotated:
@@ -235,6 +241,7 @@ def sorted_rows(a: Annotated, by: list[str]) -> Annotated:
     )
 
 
+@stage("sort")
 def sort(spark: SparkSession, store, *, output, by: list[str], cfg: AppConfig | None = None, branch: str | None = None, message: str | None = None) -> OpResult:
     """A copy of a store with its rows sorted; every matrix keeps its layout and chunks."""
     cfg = validated(cfg or AppConfig())
@@ -325,6 +332,7 @@ def plan_append(spark: SparkSession, store, *, cells, include_new_obs: bool = Fa
     return _plan(_opened(spark, store), _opened(spark, cells), include_new_obs)
 
 
+@stage("append")
 def append(spark: SparkSession, store, *, cells, drop_derived: bool = False, include_new_obs: bool = False, cfg: AppConfig | None = None, branch: str | None = None, message: str | None = None, commit: bool = True, uns: dict | None = None) -> OpResult:
     """Adds the rows of another store: new files for csr and dense matrices, csc layers anew. All or nothing, plain stores too.
 
@@ -347,6 +355,7 @@ def append(spark: SparkSession, store, *, cells, drop_derived: bool = False, inc
                 warnings.warn(f"{key} goes; add_layer from {hint} makes it again", stacklevel=2)
             target.drop(key)
         n, old_n = new.n_obs, target.n_obs
+        before = copy.deepcopy(target.manifest["elements"])
         for key in ("X", *(f"layers/{k}" for k in plan.append_layers)):
             own, more = target.matrix(key), new.matrix(key).cast(target.matrix(key).dtype)
             e = target._element(key)
@@ -357,11 +366,16 @@ def append(spark: SparkSession, store, *, cells, drop_derived: bool = False, inc
             packed = more.to(own.layout, col_chunk=own.col_chunk) if own.layout == "dense" else more.to("csr")
             shifted = packed.df.withColumn("row_id", F.col("row_id") + F.lit(old_n).cast("bigint")).select(*own.df.columns)
             target.add_files(key, shifted.repartitionByRange("row_id").sortWithinPartitions("row_id"), rows=n, nnz=more.nnz())
-        target.put_frame("obs", extend(target.frame("obs"), new.frame("obs"), plan.columns))
+        obs, cells_obs = target.frame("obs"), new.frame("obs")
+        both = extend(obs, cells_obs, plan.columns)
+        if set(both.names) == set(obs.names):
+            target.grow_frame("obs", added_rows(obs, cells_obs, plan.columns), both)
+        else:
+            target.put_frame("obs", both)
         target.manifest["n_obs"] = old_n + n
         target.manifest["uns"] = {**target.uns, **(uns or {})}
         try:
-            verified(target)
+            verified(target, before)
         except (StorageError, ConversionError) as e:
             raise StorageError(f"the appended store doesn't verify, and nothing was published: {e}") from e
         result = OpResult(_path(store), target.n_obs, target.n_vars)
@@ -371,6 +385,7 @@ def append(spark: SparkSession, store, *, cells, drop_derived: bool = False, inc
 # -- layers
 
 
+@stage("add_layer")
 def add_layer(spark: SparkSession, store, *, layer: str, matrix: str = "X", layout: str = "csc", overwrite: bool = False, cfg: AppConfig | None = None, branch: str | None = None, message: str | None = None, commit: bool = True) -> OpResult:
     """Copies a matrix into a layer with a layout of its own; values stay as they are."""
     cfg = validated(replace(cfg or AppConfig(), io=replace((cfg or AppConfig()).io, layout=layout)))

@@ -7,16 +7,17 @@ leaves nothing but files that it deletes.
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
-from dataclasses import asdict, dataclass
+from contextlib import contextmanager, nullcontext
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_LEVEL, AppConfig, ChunkConfig
 from ..errors import StorageError, ValidationError
+from ..functions.lineage import held
 from ..operators.frames import Column, Frame
-from ..operators.layout import dense_chunks, rows_per_file
+from ..operators.layout import auto_factor, check_write_unit, dense_chunks, dense_shards, flat_chunk, item_bytes, rows_per_file
 from ..operators.matrix import MAJOR, Matrix
 from .files import Files
 
@@ -73,7 +74,7 @@ class Store:
 
     def keys(self, group: str) -> list[str]:
         """The names in a group: layers, obsm, varm, obsp, varp."""
-        return sorted(k.split("/", 1)[1] for k in self.manifest["elements"] if k.startswith(f"{group}/"))
+        return sorted(k.removeprefix(f"{group}/") for k in self.manifest["elements"] if k.startswith(f"{group}/"))
 
     def matrix_keys(self) -> list[str]:
         """The elements that matrix operations take: X, layers and raw/X."""
@@ -89,7 +90,7 @@ class Store:
             raise ValidationError(f"there is no element {key!r}; there are {', '.join(sorted(self.manifest['elements'])) or 'none'}") from None
 
     def _read(self, element: dict) -> DataFrame:
-        return self.spark.read.schema(element["schema"]).parquet(*(self.files.uri(p) for p in element["paths"]))
+        return self.spark.read.options(**self.files.options).schema(element["schema"]).parquet(*(self.files.uri(p) for p in element["paths"]))
 
     def matrix(self, key: str = "X") -> Matrix:
         e = self._element(key)
@@ -113,19 +114,36 @@ class Store:
         return {"paths": [path], "schema": df._jdf.schema().toDDL()}
 
     def put_matrix(self, key: str, m: Matrix, cfg: AppConfig | None = None, *, chunks: ChunkConfig | None = None, source: str | None = None, layout: str | None = None, nnz: int | None = None) -> None:
-        """Writes a matrix in a layout: packed, range-partitioned along its axis, files of about a chunk."""
+        """Writes a matrix in a layout: packed, range-partitioned along its axis, files of about a chunk, or of a band's budget under auto_shard.
+
+        A matrix that changes its layout is packed once, into the shared folder; it is counted, sampled and read from there.
+        """
         chunks = chunks or (cfg or AppConfig()).chunks
         layout = layout or (cfg or AppConfig()).io.layout
         rows, cols = dense_chunks(m.n_rows, m.n_cols, chunks)
         packed = m.to(layout, col_chunk=cols) if layout == "dense" else m.to(layout)
         axis = MAJOR.get(layout, "row_id")
-        nnz = m.nnz() if nnz is None else nnz
         order = [axis, "part"] if layout in MAJOR else ["row_id", "col_block"]
-        records = rows_per_file(nnz, m.n_rows if layout == "csr" else m.n_cols, chunks, layout) if layout in MAJOR else rows * max(1, -(-m.n_cols // cols)) * chunks.shard_factor
-        ordered = packed.df.repartitionByRange(axis).sortWithinPartitions(*order)
-        element = self._write(ordered, key, records=records, level=chunks.clevel)
+        with held(packed.df, "packed") if packed is not m else nullcontext(packed.df) as table:
+            if nnz is None:
+                nnz = (replace(packed, df=table) if layout in MAJOR else m).nnz()
+            records = self._records(m, layout, nnz, chunks, (rows, cols))
+            element = self._write(table.repartitionByRange(axis).sortWithinPartitions(*order), key, records=records, level=chunks.clevel)
         self.manifest["elements"][key] = element | {"kind": "matrix", "layout": layout, "shape": [m.n_rows, m.n_cols], "dtype": m.dtype, "nnz": nnz, "chunks": [rows, cols], "config": asdict(chunks), "source": source}
 
+    @staticmethod
+    def _records(m: Matrix, layout: str, nnz: int, chunks: ChunkConfig, tile: tuple[int, int]) -> int:
+        """Packed rows of a file."""
+        if layout in MAJOR:
+            n = m.n_rows if layout == "csr" else m.n_cols
+            size = flat_chunk(nnz, n, chunks.row_chunk if layout == "csr" else chunks.col_chunk, chunks) * (item_bytes(m.dtype) + 4)
+            check_write_unit(size)
+            return rows_per_file(nnz, n, chunks, layout) * (auto_factor(size) if chunks.auto_shard else 1)
+        size = tile[0] * m.n_cols * item_bytes(m.dtype)
+        check_write_unit(size)
+        shard = dense_shards((m.n_rows, m.n_cols), tile, auto_factor(size) if chunks.auto_shard else chunks.shard_factor) or tile
+        return shard[0] * max(1, -(-m.n_cols // tile[1]))
+
     def add_files(self, key: str, df: DataFrame, *, rows: int, nnz: int = 0) -> None:
         """More rows of an element in files of their own; the files it has stay."""
         e = dict(self._element(key))
@@ -139,6 +157,13 @@ class Store:
         element = self._write(frame.df.select(frame.id, "name", *frame.names), key)
         self.manifest["elements"][key] = element | {"kind": "frame", "id": frame.id, "n": frame.n, "columns": [asdict(c) for c in frame.columns]}
 
+    def grow_frame(self, key: str, rows: DataFrame, frame: Frame) -> None:
+        """More rows of a frame in files of their own; frame is the whole, with the same columns and perhaps other encodings."""
+        e = dict(self._element(key))
+        old = self._read(e).columns
+        added = self._write(rows.select(*old), key)
+        self.manifest["elements"][key] = e | {"paths": e["paths"] + added["paths"], "n": frame.n, "columns": [asdict(frame.column(c)) for c in old if c in frame.names]}
+
     def put_table(self, key: str, df: DataFrame) -> None:
         self.manifest["elements"][key] = self._write(df, key) | {"kind": "table"}
 
@@ -186,6 +211,11 @@ class Store:
             self.files.delete(path)
         self._new.clear()
 
+    def __repr__(self) -> str:
+        lines = [f"<Store {self.files.root}  {self.n_obs} x {self.n_vars}>"]
+        lines += [f"  {key}: {e['kind']}{' ' + e['layout'] if 'layout' in e else ''}" for key, e in sorted(self.manifest["elements"].items())]
+        return "\n".join(lines)
+
     def used(self) -> set[str]:
         return {p for e in self.manifest["elements"].values() for p in e["paths"]}
 
@@ -217,19 +247,37 @@ def new_store(spark: SparkSession, path: str, overwrite: bool = False):
         files.delete(p)
 
 
-def verified(store: Store) -> dict[str, int]:
-    """Reads X and layers whole: packed arrays, coordinates, counts against the manifest. A StorageError names what is wrong."""
+def verified(store: Store, before: dict | None = None) -> dict[str, int]:
+    """Reads matrices and frames: packed arrays, coordinates, counts against the manifest. A StorageError names what is wrong.
+
+    before: the elements of a manifest that was verified; of an element that only got more files since, only these are read.
+    """
     out = {}
     for key in store.matrix_keys():
-        found = store.matrix(key).verify()
-        e = store._element(key)
-        if e["layout"] != "dense" and found["nnz"] != e["nnz"]:
-            raise StorageError(f"{key} holds {found['nnz']} entries, the manifest says {e['nnz']}")
-        out[key] = found["nnz"]
+        e, old = store._element(key), _kept(store, key, before)
+        first, known = (old["shape"][0], old["nnz"]) if old else (0, 0)
+        fresh = e["paths"][len(old["paths"]) if old else 0 :]
+        if not fresh:
+            out[key] = known
+            continue
+        found = replace(store.matrix(key), df=store._read(e | {"paths": fresh})).verify()
+        if found["nnz"] and found["r0"] < first:
+            raise StorageError(f"added rows of {key} begin at {found['r0']}, not after {first} rows")
+        if e["layout"] != "dense" and found["nnz"] != e["nnz"] - known:
+            raise StorageError(f"{key} holds {found['nnz'] + known} entries, the manifest says {e['nnz']}")
+        out[key] = found["nnz"] + known
     for key, n in (("obs", store.n_obs), ("var", store.n_vars)):
         if store.has(key):
-            frame = store.frame(key)
-            got = frame.df.agg(F.count("*"), F.countDistinct(frame.id)).first()
-            if tuple(got) != (n, n):
-                raise StorageError(f"{key} has {got[0]} rows, not {n}")
+            e, old = store._element(key), _kept(store, key, before)
+            known = old["n"] if old else 0
+            fresh = e["paths"][len(old["paths"]) if old else 0 :]
+            got = store._read(e | {"paths": fresh}).agg(F.count("*"), F.countDistinct(e["id"]), F.min(e["id"])).first() if fresh else (0, 0, None)
+            if tuple(got)[:2] != (n - known, n - known) or (got[0] and got[2] < known):
+                raise StorageError(f"{key} has {got[0] + known} rows, not {n}")
     return out
+
+
+def _kept(store: Store, key: str, before: dict | None) -> dict | None:
+    """The element as it was before, if all its files are still the first ones."""
+    old, e = (before or {}).get(key), store._element(key)
+    return old if old and old.get("layout") == e.get("layout") and e["paths"][: len(old["paths"])] == old["paths"] else None

@@ -12,7 +12,7 @@ from ..errors import ConversionError
 from ..plans.files import Files, is_remote
 from ..plans.store import MANIFEST, Store
 from . import hdf5, zarr
-from .annotated import Annotated
+from .annotated import Annotated, eager, from_object, is_annotated
 from .tables import load_tables
 
 Loader = Callable[[SparkSession, str, AppConfig], Annotated]
@@ -27,7 +27,7 @@ def load_store(spark: SparkSession, path: str, cfg: AppConfig) -> Annotated:
 def of_store(store: Store) -> Annotated:
     raw = (store.matrix("raw/X"), store.frame("raw/var")) if store.has("raw/X") else None
     groups = {g: {k: store.table(f"{g}/{k}") for k in store.keys(g)} for g in ("obsm", "varm", "obsp", "varp")}
-    return Annotated(store.frame("obs"), store.frame("var"), store.matrix(), {k: store.matrix(f"layers/{k}") for k in store.keys("layers")}, raw, **groups, uns=dict(store.uns), kind="store")
+    return Annotated(store.frame("obs"), store.frame("var"), store.matrix(), {k: store.matrix(f"layers/{k}") for k in store.keys("layers")}, raw, **groups, uns=dict(store.uns), raw_varm={k: store.table(f"raw/varm/{k}") for k in store.keys("raw/varm")}, kind="store")
 
 
 _loaders: dict[str, Loader] = {"store": load_store, "tables": load_tables, "zarr": zarr.load, "h5ad": hdf5.load_h5ad, "tenx": hdf5.load_tenx}
@@ -67,10 +67,14 @@ def detect_format(spark: SparkSession, path: str) -> str:
 
 
 def open_source(spark: SparkSession, source, cfg: AppConfig | None = None, *, fmt: str | None = None) -> Annotated:
-    """An input as an annotated matrix: a path, or an Annotated as it is."""
+    """An input as an annotated matrix: a path, an object with the attributes of one, or an Annotated as it is. Without cfg.io.lazy it is read at once."""
+    cfg = cfg or AppConfig()
+    if not isinstance(source, Annotated) and is_annotated(source):
+        source = from_object(spark, source)
     if isinstance(source, Annotated):
-        return source
+        return source if cfg.io.lazy else eager(source)
     kind = fmt or detect_format(spark, source)
     if kind not in _loaders:
         raise ConversionError(f"there is no source kind {kind!r}; there are {', '.join(kinds())}")
-    return _loaders[kind](spark, source, cfg or AppConfig())
+    found = _loaders[kind](spark, source, cfg)
+    return found if cfg.io.lazy else eager(found)

@@ -17,16 +17,21 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import AppConfig
 from ..errors import ConversionError
 from ..functions.scalar import HELD_AS
+from ..functions.ship import ship
+from ..operators.layout import item_bytes, major_bands, rows_per_partition
 from ..operators.matrix import Matrix
 from . import blosc
-from .annotated import Annotated, frame_from
+from .annotated import Annotated, frame_from, vector_rows
 
+#: Entries that a task of a source holds at once, or a row's if it has more.
+BAND_NNZ = 1 << 24
 MISSING_INDEX = (1 << 64) - 1  # of a shard's chunk that isn't there
 
 
@@ -145,7 +150,7 @@ class _Range(InputPartition):
 class _RowsReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.kind = options["path"], options["kind"]
-        self.rows = int(options.get("rows_per_partition", 4096))
+        self.rows = int(options.get("rows_per_partition", 4096))  # read_matrix plans them by bytes
         self.n = int(options["major"])
 
     def partitions(self):
@@ -163,12 +168,13 @@ class _RowsReader(DataSourceReader):
                     yield a + i, at.tolist(), row[at].tolist()
             return
         indptr = Array(f"{self.path}/indptr").read((a, b + 1)).astype(np.int64)
-        s, e = int(indptr[0]), int(indptr[-1])
-        indices, data = Array(f"{self.path}/indices").read((s, e)), Array(f"{self.path}/data").read((s, e))
-        for i in np.flatnonzero(np.diff(indptr)).tolist():
-            x, y = int(indptr[i]) - s, int(indptr[i + 1]) - s
-            order = np.argsort(indices[x:y], kind="stable")
-            yield a + i, indices[x:y][order].tolist(), data[x:y][order].tolist()
+        for lo, hi in major_bands(indptr, BAND_NNZ):  # bounds memory where rows are uneven
+            s, e = int(indptr[lo]), int(indptr[hi])
+            indices, data = Array(f"{self.path}/indices").read((s, e)), Array(f"{self.path}/data").read((s, e))
+            for i in np.flatnonzero(np.diff(indptr[lo : hi + 1])).tolist():
+                x, y = int(indptr[lo + i]) - s, int(indptr[lo + i + 1]) - s
+                order = np.argsort(indices[x:y], kind="stable")
+                yield a + lo + i, indices[x:y][order].tolist(), data[x:y][order].tolist()
 
 
 class ZarrRows(DataSource):
@@ -185,8 +191,9 @@ class ZarrRows(DataSource):
         return _RowsReader(self.options)
 
 
-def read_matrix(spark: SparkSession, path: str, rows_per_partition: int = 4096) -> Matrix:
-    """A matrix element: a sparse group or a dense array."""
+def read_matrix(spark: SparkSession, path: str, rows_per_task: int | None = None) -> Matrix:
+    """A matrix element: a sparse group or a dense array. A task reads so many rows, by default what a band's budget holds, in whole chunks if they fit."""
+    ship(spark)
     spark.dataSource.register(ZarrRows)
     attrs = attributes(path)
     kind = {"csr_matrix": "csr", "csc_matrix": "csc", "array": "dense"}.get(attrs.get("encoding-type", "array"))
@@ -197,10 +204,11 @@ def read_matrix(spark: SparkSession, path: str, rows_per_partition: int = 4096)
     if len(shape) != 2:
         raise ConversionError(f"{path} has {len(shape)} dimensions")
     dtype = HELD_AS[values.kind]
-    from pyspark.sql import functions as F
-
     major, minor = ("col_id", "row_id") if kind == "csc" else ("row_id", "col_id")
-    df = spark.read.format("zarr_rows").options(path=path, kind=kind, major=shape[1] if kind == "csc" else shape[0], dtype=dtype, rows_per_partition=rows_per_partition).load()
+    n = shape[1] if kind == "csc" else shape[0]
+    row_bytes = shape[1] * item_bytes(dtype) if kind == "dense" else values.shape[0] * (item_bytes(dtype) + 8) / max(n, 1)
+    rows = rows_per_task or rows_per_partition(n, row_bytes, spark.sparkContext.defaultParallelism, values.chunks[0] if kind == "dense" else 1)
+    df = spark.read.format("zarr_rows").options(path=path, kind=kind, major=n, dtype=dtype, rows_per_partition=rows).load()
     entries = df.select(F.col("major").alias(major), F.inline(F.arrays_zip("indices", "data"))).withColumnsRenamed({"indices": minor, "data": "value"})
     return Matrix.of_entries(entries, shape[0], shape[1])
 
@@ -235,17 +243,10 @@ def _children(path: str) -> list[str]:
 
 
 def read_vectors(spark: SparkSession, path: str, id: str):
-    """(id, vec) of a dense element of obsm or varm, read by tasks; a row of zeros has a vector like others."""
-    from pyspark.sql import functions as F
-
+    """(id, vec) of a dense element of obsm or varm, read by tasks."""
     if attributes(path).get("encoding-type", "array") != "array":
         raise ConversionError(f"{path} is not a dense array")
-    m = read_matrix(spark, path)
-    zero = F.lit(0).cast(m.dtype)
-    cells = m.entries().groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("col_id", "value"))).alias("cells"))  # one row of the array
-    vec = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(m.n_cols - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("cells", i), zero))
-    rows = spark.range(m.n_rows).withColumnRenamed("id", "row_id").join(cells, "row_id", "left")
-    return rows.select(F.col("row_id").alias(id), F.coalesce(vec, F.array_repeat(zero, m.n_cols)).alias("vec"))
+    return vector_rows(read_matrix(spark, path), id)
 
 
 def read_uns(path: str) -> tuple[dict, list[str]]:
@@ -275,11 +276,12 @@ def load(spark: SparkSession, path: str, cfg: AppConfig) -> Annotated:
     out = Annotated(obs, var, read_matrix(spark, f"{path}/X") if os.path.exists(f"{path}/X") else None, {k: read_matrix(spark, f"{path}/layers/{k}") for k in _children(f"{path}/layers")}, kind="zarr")
     if os.path.exists(f"{path}/raw/X"):
         out.raw = read_matrix(spark, f"{path}/raw/X"), frame_from(spark, read_frame(f"{path}/raw/var"), "col_id")
-    readers = {"obsm": lambda p: read_vectors(spark, p, "row_id"), "varm": lambda p: read_vectors(spark, p, "col_id"), "obsp": lambda p: read_matrix(spark, p).entries(), "varp": lambda p: read_matrix(spark, p).entries()}
+    by_column = lambda p: read_vectors(spark, p, "col_id")
+    readers = {"obsm": lambda p: read_vectors(spark, p, "row_id"), "varm": by_column, "raw/varm": by_column if out.raw else None, "obsp": lambda p: read_matrix(spark, p).entries(), "varp": lambda p: read_matrix(spark, p).entries()}
     for group, read in readers.items():
-        for name in _children(f"{path}/{group}"):
+        for name in _children(f"{path}/{group}") if read else ():
             try:
-                getattr(out, group)[name] = read(f"{path}/{group}/{name}")
+                getattr(out, group.replace("/", "_"))[name] = read(f"{path}/{group}/{name}")
             except ConversionError as e:
                 out.warnings.append(f"{group}/{name} is left out: {e}")
     out.uns, left = read_uns(f"{path}/uns")
@@ -317,31 +319,54 @@ def write_group(path: str, attrs: dict) -> None:
 
 
 def export_matrix(m: Matrix, path: str, nnz_chunk: int) -> None:
-    """A matrix as a row-sparse Zarr group: each task writes whole chunks of the flat arrays to the shared path; indptr comes from the row counts."""
-    from pyspark.sql import functions as F
-
+    """A matrix as a row-sparse Zarr group: tasks write whole chunks of the flat arrays and of indptr to the shared path, and hold one chunk at a time."""
+    ship(m.df.sparkSession)
     dtype = {v: k for k, v in reversed(HELD_AS.items()) if not k.startswith(("uint", "float16"))}[m.dtype]
     nnz = m.nnz()
-    chunk = max(1, min(nnz_chunk, max(nnz, 1)))
+    wide = "int64" if nnz > 2**31 - 1 else "int32"
     write_group(path, {"encoding-type": "csr_matrix", "encoding-version": "0.1.0", "shape": [m.n_rows, m.n_cols]})
-    for name, kind, n, size in (("data", dtype, nnz, chunk), ("indices", "int32", nnz, chunk)):
+    entries = m.numbered().select("position", F.col("value").alias("data"), F.col("col_id").alias("indices"))
+    _export(entries, path, nnz, max(1, min(nnz_chunk, nnz)), {"data": dtype, "indices": "int32" if m.n_cols < 1 << 31 else "int64"})
+    ends = m.indptr().select((F.col("row_id") + 1).alias("position"), (F.col("indptr") + F.col("nnz")).alias("indptr"))
+    first = m.df.sparkSession.range(1).select(F.col("id").alias("position"), F.col("id").alias("indptr"))
+    _export(first.union(ends), path, m.n_rows + 1, max(1, min(nnz_chunk, m.n_rows + 1)), {"indptr": wide})
+
+
+def _export(values: DataFrame, path: str, n: int, chunk: int, arrays: dict[str, str]) -> None:
+    """Arrays of n values under a group: values has a position, and a column of each array's name."""
+    for name, kind in arrays.items():
         write_array(f"{path}/{name}", np.empty(0, kind), (1,))
         meta = json.loads(Path(path, name, "zarr.json").read_text())
-        meta["shape"], meta["chunk_grid"]["configuration"]["chunk_shape"] = [n], [size]
+        meta["shape"], meta["chunk_grid"]["configuration"]["chunk_shape"] = [n], [chunk]
         Path(path, name, "zarr.json").write_text(json.dumps(meta))
-
-    def put(rows):
-        for number, cells in rows:
-            pack = zstandard.ZstdCompressor(level=3)
-            for name, kind, values in (("data", dtype, [c["value"] for c in cells]), ("indices", "int32", [c["col_id"] for c in cells])):
-                whole = np.zeros(chunk, kind)
-                whole[: len(values)] = values
-                Path(path, name, "c").mkdir(parents=True, exist_ok=True)
-                Path(path, name, "c", str(number)).write_bytes(pack.compress(whole.tobytes()))
-
-    flat = m.numbered().groupBy(F.floor(F.col("position") / chunk).cast("bigint").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("position", "col_id", "value"))).alias("cells"))
-    flat.foreachPartition(put)
-    counts = np.zeros(m.n_rows, np.int64)
-    for r in m.row_nnz().where("nnz > 0").toLocalIterator():
-        counts[r["row_id"]] = r["nnz"]
-    write_array(f"{path}/indptr", np.concatenate(([0], np.cumsum(counts))).astype(np.int64 if nnz > 2**31 - 1 else np.int32))
+        Path(path, name, "c").mkdir(parents=True, exist_ok=True)
+
+    def save(number: int, held: dict) -> None:
+        for name, kind in arrays.items():
+            whole = np.zeros(chunk, kind)
+            joined = np.concatenate(held[name])
+            whole[: len(joined)] = joined
+            target = Path(path, name, "c", str(number))
+            beside = target.with_name(f"{number}.{os.getpid()}.part")
+            beside.write_bytes(zstandard.ZstdCompressor(level=3).compress(whole.tobytes()))
+            beside.replace(target)  # a task that runs again writes the same
+
+    def put(batches):
+        number, held = -1, {}
+        for batch in batches:
+            at = batch.column("_chunk").to_numpy(zero_copy_only=False)
+            columns = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in arrays}
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1, [len(at)])) if len(at) else []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if at[a] != number:
+                    if number >= 0:
+                        save(number, held)
+                    number, held = int(at[a]), {name: [] for name in arrays}
+                for name, column in columns.items():
+                    held[name].append(column[a:b].astype(arrays[name]))
+        if number >= 0:
+            save(number, held)
+        yield from ()
+
+    dealt = values.withColumn("_chunk", F.floor(F.col("position") / chunk).cast("bigint")).repartition("_chunk").sortWithinPartitions("position")
+    dealt.mapInArrow(put, "done boolean").count()

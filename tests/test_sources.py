@@ -1,4 +1,5 @@
 import json
+import os
 import struct
 import sys
 
@@ -10,10 +11,11 @@ from helpers import dense, small, table
 
 import matrixloom as ml
 from matrixloom import cli
-from matrixloom.errors import ConversionError, ValidationError
+from matrixloom.errors import ConversionError, StorageError, ValidationError
+from matrixloom.functions import runtime
 from matrixloom.plans import files
 from matrixloom.plans.store import Store
-from matrixloom.sources import blosc, hdf5, registry, zarr
+from matrixloom.sources import annotated, blosc, hdf5, registry, zarr
 from matrixloom.streaming.ingest import LAST, appender
 
 pytestmark = pytest.mark.filterwarnings("ignore")
@@ -156,8 +158,22 @@ def test_zarr_arrays_read_ranges_shards_and_fill(tmp_path):
 
 def test_zarr_export_round_trip(spark, tmp_path):
     x, a = small(spark)
-    zarr.export_matrix(a.X, str(tmp_path / "m"), 7)
-    assert (dense(zarr.read_matrix(spark, str(tmp_path / "m"))) == x).all()
+    for chunk in (1, 7, 1000):
+        path = str(tmp_path / f"m{chunk}")
+        zarr.export_matrix(a.X, path, chunk)
+        assert (dense(zarr.read_matrix(spark, path)) == x).all()
+        assert zarr.Array(f"{path}/indptr").read().tolist() == [0, *np.cumsum((x != 0).sum(1)).tolist()] and not list(tmp_path.rglob("*.part"))
+    none = ml.operators.matrix.Matrix.of_entries(a.X.entries().where("false"), 3, 2)
+    zarr.export_matrix(none, str(tmp_path / "none"), 5)
+    assert not dense(zarr.read_matrix(spark, str(tmp_path / "none"))).any()
+
+
+def test_uneven_rows_are_read_in_bands(tmp_path, monkeypatch):
+    x, path = np.triu(np.arange(1, 50).reshape(7, 7)), str(tmp_path / "z")
+    zarr_store(tmp_path / "z", x)
+    monkeypatch.setattr(zarr, "BAND_NNZ", 4)
+    found = list(zarr._RowsReader({"path": f"{path}/X", "kind": "csr", "major": 7, "rows_per_partition": 5}).read(zarr._Range(1, 6)))
+    assert found == [(i, list(range(i, 7)), x[i, i:].tolist()) for i in range(1, 6)]
 
 
 def test_tables_source(spark, tmp_path):
@@ -207,6 +223,74 @@ def test_frames_in_memory(spark):
         f.column("absent")
 
 
+class Sparse:
+    """Sparse arrays as array libraries hold them."""
+
+    def __init__(self, x, kind):
+        y = x if kind == "csr" else x.T
+        major, minor = np.nonzero(y)
+        self.format, self.shape, self.data, self.indices = kind, x.shape, y[major, minor], minor
+        self.indptr = np.concatenate(([0], np.cumsum(np.bincount(major, minlength=len(y)))))
+
+
+class Object:
+    def __init__(self, **attributes):
+        self.__dict__.update(attributes)
+
+
+def test_objects_in_memory(spark, tmp_path):
+    x, _ = small(spark)
+    obs, var = pd.DataFrame({"k": list("ab") * 6}, index=[f"r{i}" for i in range(12)]), pd.DataFrame(index=[f"c{i}" for i in range(6)])
+    assert all((dense(annotated.matrix_from(spark, Sparse(x, kind))) == x).all() for kind in ("csr", "csc"))
+    with pytest.raises(ConversionError, match="coo"):
+        annotated.matrix_from(spark, Object(format="coo"))
+    thing = Object(
+        X=Sparse(x, "csc"), obs=obs, var=var, layers={"two": x * 2}, raw=Object(X=x, var=var, varm={"w": np.ones((6, 1))}), obsm={"pca": np.arange(24.0).reshape(12, 2), "thin": Sparse(x, "csr"), "table": obs},
+        varm={}, obsp={"near": np.eye(12, k=1)}, varp={}, uns={"a": np.int64(1), "b": {"c": np.array(["x"])}, "odd": object()},
+    )
+    with pytest.warns(UserWarning) as said:
+        ml.convert(spark, thing, output=str(tmp_path / "s"))
+    assert sorted(str(w.message).split(" is")[0] for w in said if "left out" in str(w.message)) == ["obsm/table", "uns/odd"]
+    s = Store.open(spark, str(tmp_path / "s"))
+    assert (dense(s.matrix()) == x).all() and (dense(s.matrix("layers/two")) == x * 2).all() and s.uns == {"a": 1, "b": {"c": ["x"]}}
+    assert [list(r.vec) for r in s.table("obsm/thin").orderBy("row_id").collect()] == x.tolist() and s.keys("raw/varm") == ["w"]
+
+
+def test_usable_cpus(tmp_path, monkeypatch):
+    monkeypatch.setattr(os, "process_cpu_count", lambda: 8)
+    assert runtime.usable_cpus(str(tmp_path)) == 8
+    (tmp_path / "proc/self").mkdir(parents=True)
+    (tmp_path / "proc/self/cgroup").write_text("0::/a/b\n")
+    for path, limit in (("", "max 100000"), ("a", "250000 100000"), ("a/b", "700000 100000")):
+        (tmp_path / "sys/fs/cgroup" / path).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "sys/fs/cgroup" / path / "cpu.max").write_text(limit)
+    assert runtime.usable_cpus(str(tmp_path)) == 3
+    old = tmp_path / "old/sys/fs/cgroup/cpu"
+    old.mkdir(parents=True)
+    (old / "cpu.cfs_quota_us").write_text("-1")
+    (old / "cpu.cfs_period_us").write_text("100000")
+    assert runtime.usable_cpus(str(tmp_path / "old")) == 8
+    (old / "cpu.cfs_quota_us").write_text("50000")
+    assert runtime.usable_cpus(str(tmp_path / "old")) == 1
+
+
+def test_lost_workers_and_stages(caplog):
+    with pytest.raises(ConversionError, match="--cpus"), runtime.stage("sort"):
+        raise RuntimeError("Job aborted: ExecutorLostFailure (executor 3 exited)")
+    with pytest.raises(RuntimeError, match="else"), runtime.stage("sort"):
+        raise RuntimeError("something else")
+    with caplog.at_level("INFO", logger="matrixloom"), runtime.stage("sort"):
+        pass
+    assert [r.message.split(":")[0] for r in caplog.records] == ["sort", "sort"]
+
+
+def test_storage_that_cannot_be_reached(spark):
+    with pytest.raises(StorageError, match="aws sso login"):
+        files.Files(spark, "s3a://nowhere/x")
+    with pytest.raises(StorageError, match="gcloud"):
+        ml.Repo.exists(spark, "gs://nowhere/x", anonymous=True)
+
+
 def test_paths():
     assert files.scheme("s3://b/x") == "s3" and files.is_remote("hdfs://h/x") and not files.is_remote("/x") and not files.is_remote("file:///x")
     assert files.canonical("file:///a/b/") == "/a/b" and files.name_of("s3://b/x/") == "x" and files.is_read_only("https://h/x")

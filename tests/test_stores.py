@@ -244,9 +244,40 @@ def test_append_grows_csc_and_dense_layers(spark, tmp_path):
         assert s.matrix(key).layout == kind and (dense(s.matrix(key)) == np.vstack([x, y])).all()
 
 
+def test_append_reads_and_writes_only_what_is_new(spark, tmp_path):
+    x, y, path, cells = pair(spark, tmp_path)
+    old = Store.open(spark, path)
+    ml.append(spark, path, cells=cells, drop_derived=True)
+    s = Store.open(spark, path)
+    before = old.manifest["elements"]
+    for key in ("X", "obs"):
+        assert s._element(key)["paths"][:1] == before[key]["paths"] and len(s._element(key)["paths"]) == 2
+    assert verified(s)["X"] == verified(s, before)["X"] == np.count_nonzero(x) + np.count_nonzero(y)
+    s._element("X")["nnz"] += 1
+    with pytest.raises(StorageError, match="entries"):
+        verified(s, before)
+    s._element("X")["nnz"] -= 1
+    s._element("obs")["paths"].append(before["obs"]["paths"][0])
+    with pytest.raises(StorageError, match="obs"):
+        verified(s, before)
+
+
+@pytest.mark.parametrize("layout", ["csr", "dense"])
+def test_files_of_many_chunks(spark, tmp_path, layout):
+    x, a = small(spark)
+    counts = []
+    for auto in (False, True):
+        path = str(tmp_path / f"s{auto}")
+        ml.convert(spark, a, output=path, cfg=AppConfig(io=IOConfig(layout=layout), chunks=ChunkConfig(row_chunk=1, auto_shard=auto)))
+        s = Store.open(spark, path)
+        counts.append(len([f for f in os.listdir(s.files.uri(s._element("X")["paths"][0])) if f.endswith(".parquet")]))
+        assert (dense(s.matrix()) == x).all()
+    assert counts[0] > counts[1]
+
+
 def test_failed_append_changes_nothing(spark, tmp_path, monkeypatch):
     x, _, path, cells = pair(spark, tmp_path)
-    monkeypatch.setattr(ops, "verified", lambda s: (_ for _ in ()).throw(StorageError("no")))
+    monkeypatch.setattr(ops, "verified", lambda *a: (_ for _ in ()).throw(StorageError("no")))
     with pytest.raises(StorageError):
         ml.append(spark, path, cells=cells, drop_derived=True)
     s = Store.open(spark, path)
@@ -266,6 +297,8 @@ def test_repo_history(spark, tmp_path):
     assert repo.store().n_obs == 13 and repo.store(repo.log()[1].id).n_obs == 8
     repo.checkout("main")
     assert repo.store().n_obs == 8 and repo.branches == ["dev", "main"] and "*main" in repr(repo) and "On branch main" in repo.tree()
+    assert repr(repo.branches) == "  dev\n* main" and repr(repo.log()).endswith("Repository initialized") and repr(repo.tree()) == str(repo.tree()) and not repo.resolved
+    assert "X: matrix csr" in repr(repo.store())
     assert (dense(repo.store().matrix()) == x).all()
     again = repo.copy(str(tmp_path / "clone"))
     assert [s.id for s in again.log("dev")] == [s.id for s in repo.log("dev")]
@@ -315,6 +348,7 @@ def test_origin_takes_writes(spark, tmp_path):
     origin = ml.Repo.init(spark, str(tmp_path / "o"), str(tmp_path / "s"))
     origin.copy(str(tmp_path / "mirror"))
     repo = ml.Repo(spark, str(tmp_path / "mirror"), origin=str(tmp_path / "o"))
+    assert repo.resolved
     ml.add_layer(spark, repo, layer="a")
     assert repo.store().keys("layers") == ["a"] and origin.store().keys("layers") == ["a"]
     assert ml.Repo(spark, str(tmp_path / "mirror")).store().keys("layers") == []
