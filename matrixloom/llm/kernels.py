@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+def frugal(function: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The function, which gives the memory that it has freed back to the system when a task ends: workers live on through later stages."""
+
+    @functools.wraps(function)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim"):  # glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the finaliser of splitmix64)."""
     x = x ^ (x >> U(30))

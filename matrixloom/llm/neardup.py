@@ -103,6 +103,7 @@ def bands(sketch: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+@K.frugal
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id and text to id, n_shingles, two hashes of the set, band keys, and coordinates cut to a byte."""
     for batch in batches:
@@ -119,6 +120,7 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(a), pa.array(b), keys, cells], ["id", "n_shingles", "a", "b", "bands", "cells"])
 
 
+@K.frugal
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by pivot and share, with the pivot itself first; gives the members that link with it."""
     pivot, pivot_set = None, None
@@ -174,6 +176,7 @@ def _links_with(pivot_set: np.ndarray, own: np.ndarray) -> bool:
     return SIMILAR[1] * both >= SIMILAR[0] * (len(own) + len(pivot_set) - both)
 
 
+@K.frugal
 def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket and blocks: each member of a minority (side 1) meets the block's members (side 0) of other components.
 

@@ -139,6 +139,7 @@ def learn(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id", text: str
     rated = rated.groupBy("_key").agg(F.min("_grade").alias("_grade")).orderBy(F.xxhash64("_key"), "_key").limit(sample)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(rated), "_key").select("_key", "_text", "_grade")
 
+    @K.frugal
     def take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.text_bytes(batch.column(1))
@@ -152,6 +153,7 @@ def learn(docs: DataFrame, ratings: DataFrame, *, key: str = "doc_id", text: str
     return Model(*(np.frombuffer(x, np.float64).copy() for x in found))
 
 
+@K.frugal
 def _fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fits to all rows (key, x, grade), in the order of their keys, features and grades, to one row: weights and thresholds."""
     table = pa.Table.from_batches([x for x in batches if x.num_rows] or [pa.RecordBatch.from_pylist([], pa.schema([("key", pa.int64()), ("x", pa.binary()), ("grade", pa.int32())]))])
@@ -168,6 +170,7 @@ def _fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: key, expected_grade, and tail: P(grade >= k) for k = 1, 2, ..."""
 
+    @K.frugal
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.text_bytes(batch.column(1))
@@ -187,6 +190,7 @@ def select(docs: DataFrame, model: Model, *, text: str = "text", at_least: int =
     """The rows of docs, unchanged, whose P(grade >= at_least) is keep or more. One scan, no shuffle."""
     place = docs.columns.index(text)
 
+    @K.frugal
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.text_bytes(batch.column(place))

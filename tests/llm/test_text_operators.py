@@ -185,6 +185,18 @@ def test_splits_may_change_between_jobs(spark, tmp_path, texts, tokenizer, monke
     assert [rows(f()) for f in runs] == before
 
 
+def test_frugal_functions_pass_batches_and_errors_on():
+    @kernels.frugal
+    def twice(batches):
+        for batch in batches:
+            yield from (batch, batch)
+
+    batch = pa.RecordBatch.from_pydict({"x": [1]})
+    assert [x.num_rows for x in twice(iter([batch, batch]))] == [1] * 4 and not list(twice(iter([])))
+    with pytest.raises(AttributeError):
+        list(kernels.frugal(lambda batches: (x.nothing for x in batches))(iter([batch])))
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
