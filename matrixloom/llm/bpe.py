@@ -114,7 +114,6 @@ def pieces_of(tokenizer: str) -> list[str]:
     return [found.id_to_token(i) or "" for i in range(found.get_vocab_size(with_added_tokens=True))]
 
 
-@K.frugal
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The short words that come twice in a stretch of text, with their number there."""
     for batch in batches:
@@ -228,7 +227,6 @@ def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = (), t
     pieces = pieces_of(tokenizer)
     names, shipped = spark.sparkContext.broadcast(pieces), spark.sparkContext.broadcast(tokenizer)
 
-    @K.frugal
     def encode_frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = _encode(batch.column(0).to_pylist(), shipped.value)
@@ -237,7 +235,6 @@ def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = (), t
     table = frequent.mapInArrow(encode_frequent, "word binary, n long, ids binary, text binary").toArrow()  # at most `hot` words of at most LONGEST bytes
     words = spark.sparkContext.broadcast(Hot(table.sort_by([("n", "descending"), ("word", "ascending")])))
 
-    @K.frugal
     def encode_rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by word to (_row, place and ids in one); a word is encoded where it first comes."""
         last, ids = None, b""
@@ -252,7 +249,6 @@ def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = (), t
                 out.append(place.tobytes() + ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["_row", "found"])
 
-    @K.frugal
     def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Row number, and the text as numbers of frequent words, or their count plus the place among the text's other words."""
         table = words.value
@@ -276,7 +272,6 @@ def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = (), t
                     sequences.append(_pack(found[units.offsets[d] : units.offsets[d + 1]]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sequences, pa.binary()), pa.array(others, pa.list_(pa.binary())), *(c.slice(i, j - i) for c in batch.columns[2:])], ["_row", "sequence", "others", *inner])
 
-    @K.frugal
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, names_ = words.value, names.value
         n = len(table.hashes)
