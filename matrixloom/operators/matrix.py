@@ -88,10 +88,16 @@ class Matrix:
     def _wide(self, axis: str) -> bool:
         return (self.n_cols if axis == "col_id" else self.n_rows) > (1 << 31) - 1
 
-    def _dense(self, width: int) -> Matrix:
-        """Stretches of `width` columns: zeros between the sorted values, in time linear in the width."""
+    def dense_in_order(self, width: int) -> Matrix:
+        """to("dense") with rows ranged over the partitions and in order in each. Entries or packed rows are moved; zeros come last."""
+        ranged = self if self.layout == "csr" else replace(self, df=self.entries(), layout="entries")
+        return replace(ranged, df=ranged.df.repartitionByRange("row_id"))._dense(width, in_order=True)
+
+    def _dense(self, width: int, in_order: bool = False) -> Matrix:
+        """Stretches of `width` columns: zeros between the sorted values, in time linear in the width. in_order: sorted in each partition."""
         block = F.floor(F.col("col_id") / width).cast("int")
         grouped = self.entries().groupBy("row_id", block.alias("col_block")).agg(F.array_sort(F.collect_list(F.struct((F.col("col_id") % width).cast("int").alias("o"), F.col("value").alias("v")))).alias("_e"))
+        grouped = grouped.sortWithinPartitions("row_id", "col_block") if in_order else grouped
         zeros = lambda n: F.array_repeat(F.lit(0).cast(self.dtype), n.cast("int"))
         size = F.least(F.lit(width), F.lit(self.n_cols) - F.col("col_block") * width)
 

@@ -52,8 +52,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_ordinal(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"), ["o_orderkey"], "row_id")
+def _rows(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    return with_ordinal(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice").where(where), ["o_orderkey"], "row_id")
 
 
 def _cols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +69,7 @@ def _matrix(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None, col
 
 def _annotated(spark: SparkSession, sf_dir: str, where: str | None = None, numbers: bool = True) -> Annotated:
     """The matrix with its frames; where picks rows, which are numbered anew."""
-    rows, cols = _rows(spark, sf_dir), _cols(spark, sf_dir)
-    if where:
-        rows = with_ordinal(rows.drop("row_id").where(where), ["o_orderkey"], "row_id")
+    rows, cols = _rows(spark, sf_dir, where or "true"), _cols(spark, sf_dir)
     m = _matrix(spark, sf_dir, rows, cols)
     obs = rows.select("row_id", F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), *([F.col("o_orderkey").alias("key")] if numbers else []))
     var = cols.select("col_id", F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))

@@ -363,9 +363,13 @@ def append(spark: SparkSession, store, *, cells, drop_derived: bool = False, inc
                 both = replace(own, df=own.entries(), layout="entries").stacked(replace(more, df=more.entries(), layout="entries"))
                 target.put_matrix(key, both, chunks=target.config_of(key), layout="csc", source=e["source"])
                 continue
-            packed = more.to(own.layout, col_chunk=own.col_chunk) if own.layout == "dense" else more.to("csr")
+            if own.layout == "csr":
+                packed = more.to("csr")
+            else:  # the cells' files have their rows in order; stretches of the same width aren't moved again
+                packed = more if (more.layout, more.col_chunk) == ("dense", own.col_chunk) else more.dense_in_order(own.col_chunk)
             shifted = packed.df.withColumn("row_id", F.col("row_id") + F.lit(old_n).cast("bigint")).select(*own.df.columns)
-            target.add_files(key, shifted.repartitionByRange("row_id").sortWithinPartitions("row_id"), rows=n, nnz=more.nnz())
+            placed = shifted if own.layout == "dense" else shifted.repartitionByRange("row_id").sortWithinPartitions("row_id")
+            target.add_files(key, placed, rows=n, nnz=more.nnz())
         obs, cells_obs = target.frame("obs"), new.frame("obs")
         both = extend(obs, cells_obs, plan.columns)
         if set(both.names) == set(obs.names):
@@ -401,7 +405,7 @@ def add_layer(spark: SparkSession, store, *, layer: str, matrix: str = "X", layo
             raise ValidationError(f"{matrix} is {m.n_rows} x {m.n_cols}, the store {target.n_obs} x {target.n_vars}")
         if matrix == "raw/X" and not same_names(target.frame("raw/var").df, target.frame("var").df, "col_id"):
             raise ValidationError("raw/var differs from var")
-        target.put_matrix(f"layers/{layer}", m, cfg, layout=layout, source=matrix, nnz=target._element(matrix)["nnz"])
+        target.put_matrix(f"layers/{layer}", m, cfg, layout=layout, source=matrix, nnz=target._element(matrix)["nnz"], filed=True)
         result = OpResult(_path(store), target.n_obs, target.n_vars)
     return replace(result, snapshot_id=place.snapshot_id)
 

@@ -22,6 +22,8 @@ from ..operators.matrix import MAJOR, Matrix
 from .files import Files
 
 FORMAT, VERSION = "matrixloom-store", 1
+#: Columns of a stretch of a dense matrix in its files, at most; a tile's row is several stretches, of which those without entries aren't written.
+STRETCH = 32
 MANIFEST = "manifest.json"
 
 
@@ -94,7 +96,7 @@ class Store:
 
     def matrix(self, key: str = "X") -> Matrix:
         e = self._element(key)
-        return Matrix(self._read(e), e["layout"], e["shape"][0], e["shape"][1], e["dtype"], e["chunks"][1] if e["layout"] == "dense" else 2048)
+        return Matrix(self._read(e), e["layout"], e["shape"][0], e["shape"][1], e["dtype"], e.get("stretch", e["chunks"][1]) if e["layout"] == "dense" else 2048)
 
     def frame(self, key: str) -> Frame:
         e = self._element(key)
@@ -113,26 +115,36 @@ class Store:
         (writer.option("maxRecordsPerFile", records) if records else writer).parquet(self.files.uri(path))
         return {"paths": [path], "schema": df._jdf.schema().toDDL()}
 
-    def put_matrix(self, key: str, m: Matrix, cfg: AppConfig | None = None, *, chunks: ChunkConfig | None = None, source: str | None = None, layout: str | None = None, nnz: int | None = None) -> None:
+    def put_matrix(self, key: str, m: Matrix, cfg: AppConfig | None = None, *, chunks: ChunkConfig | None = None, source: str | None = None, layout: str | None = None, nnz: int | None = None, filed: bool = False) -> None:
         """Writes a matrix in a layout: packed, range-partitioned along its axis, files of about a chunk, or of a band's budget under auto_shard.
 
-        A matrix that changes its layout is packed once, into the shared folder; it is counted, sampled and read from there.
+        A matrix that changes its layout is packed once, into the shared folder; it is counted, sampled and read from there. For a dense one
+        its entries or packed rows are held there instead, unless they are filed in a store already, so that the zeros of its stretches are
+        made as the files are written.
         """
         chunks = chunks or (cfg or AppConfig()).chunks
         layout = layout or (cfg or AppConfig()).io.layout
         rows, cols = dense_chunks(m.n_rows, m.n_cols, chunks)
-        packed = m.to(layout, col_chunk=cols) if layout == "dense" else m.to(layout)
+        stretch = min(cols, STRETCH)
+        same = m.layout == layout and (layout != "dense" or m.col_chunk == stretch)
+        packed = m if same or (layout == "dense" and m.layout == "csr") else m.to("entries" if layout == "dense" else layout)
         axis = MAJOR.get(layout, "row_id")
         order = [axis, "part"] if layout in MAJOR else ["row_id", "col_block"]
-        with held(packed.df, "packed") if packed is not m else nullcontext(packed.df) as table:
+        with nullcontext(packed.df) if same or (filed and packed is m) else held(packed.df, "packed") as table:
             if nnz is None:
-                nnz = (replace(packed, df=table) if layout in MAJOR else m).nnz()
-            records = self._records(m, layout, nnz, chunks, (rows, cols))
-            element = self._write(table.repartitionByRange(axis).sortWithinPartitions(*order), key, records=records, level=chunks.clevel)
+                nnz = replace(packed, df=table).nnz()
+            records = self._records(m, layout, nnz, chunks, (rows, cols), stretch)
+            if same or layout != "dense":
+                placed = table.repartitionByRange(axis).sortWithinPartitions(*order)
+            else:
+                placed = replace(packed, df=table).dense_in_order(stretch).df
+            element = self._write(placed, key, records=records, level=chunks.clevel)
         self.manifest["elements"][key] = element | {"kind": "matrix", "layout": layout, "shape": [m.n_rows, m.n_cols], "dtype": m.dtype, "nnz": nnz, "chunks": [rows, cols], "config": asdict(chunks), "source": source}
+        if layout == "dense":
+            self.manifest["elements"][key]["stretch"] = stretch
 
     @staticmethod
-    def _records(m: Matrix, layout: str, nnz: int, chunks: ChunkConfig, tile: tuple[int, int]) -> int:
+    def _records(m: Matrix, layout: str, nnz: int, chunks: ChunkConfig, tile: tuple[int, int], stretch: int) -> int:
         """Packed rows of a file."""
         if layout in MAJOR:
             n = m.n_rows if layout == "csr" else m.n_cols
@@ -142,7 +154,7 @@ class Store:
         size = tile[0] * m.n_cols * item_bytes(m.dtype)
         check_write_unit(size)
         shard = dense_shards((m.n_rows, m.n_cols), tile, auto_factor(size) if chunks.auto_shard else chunks.shard_factor) or tile
-        return shard[0] * max(1, -(-m.n_cols // tile[1]))
+        return shard[0] * max(1, -(-m.n_cols // stretch))
 
     def add_files(self, key: str, df: DataFrame, *, rows: int, nnz: int = 0) -> None:
         """More rows of an element in files of their own; the files it has stay."""

@@ -1,9 +1,14 @@
 """What queries move grows with the entries of a matrix, not with its cells."""
 
+import numpy as np
 import pytest
+from helpers import dense, small
 from pyspark.sql import functions as F
 
+import matrixloom as ml
+from matrixloom.config import AppConfig, ChunkConfig
 from matrixloom.plans.catalogue import QUERIES
+from matrixloom.plans.store import STRETCH, Store
 
 ORDERS, SUPPLIERS = 200, 40_000
 
@@ -49,3 +54,30 @@ def test_dense_rows_are_filled_without_moving_their_zeros(spark, wide):
         assert len(values) == SUPPLIERS and {(r.row_id, c): int(v) for c, v in enumerate(values) if v != "0"} == {k: v for k, v in found.items() if k[0] == r.row_id}
     # Both spines are numbered by one shuffle and joined by another; stretches of zeros alone would add 1250 records a row.
     assert moved < 2 * (SUPPLIERS + ORDERS) + 10 * len(found)
+
+
+def test_dense_layers_hold_stretches_near_their_entries(spark, wide):
+    got = QUERIES["append_dense_layer"](spark, wide)
+    half = ORDERS // 2
+    expected = {(k // 2 + half * (k % 2), c): v for (k, c), v in facts(spark, wide).items()}
+    assert {(r.row_id, r.col_id): int(r.value) for r in got.collect()} == expected and got.count() == len(expected)
+    files = got.inputFiles()
+    values = spark.read.parquet(*files).agg(F.sum(F.size("values"))).first()[0]
+    assert values <= STRETCH * len(expected)  # a tile of 2048 columns isn't written for each
+    store = Store.open(spark, files[0].split("/data/")[0])
+    assert store._element("layers/copy")["chunks"][1] == 2048
+
+
+def test_dense_files_of_other_widths(spark, tmp_path):
+    """Stores from before stretches, whose tiles are as wide as their stretches; cells of another width are cut anew."""
+    (x, a), (y, b) = small(spark, 9), small(spark, 5, seed=1)
+    paths = [str(tmp_path / "s"), str(tmp_path / "cells")]
+    for path, what, width in zip(paths, (a, b), (4, 5), strict=True):
+        ml.convert(spark, what, output=path)
+        ml.add_layer(spark, path, layer="tiles", layout="dense", cfg=AppConfig(chunks=ChunkConfig(col_chunk=width)))
+        store = Store.open(spark, path)
+        assert store.matrix("layers/tiles").col_chunk == store.manifest["elements"]["layers/tiles"].pop("stretch") == width
+        store.commit()
+    with pytest.warns(UserWarning):
+        ml.append(spark, paths[0], cells=paths[1])
+    assert (dense(Store.open(spark, paths[0]).matrix("layers/tiles")) == np.vstack([x, y])).all()
