@@ -10,7 +10,8 @@ clean documents' best segments. Segments with E below SIGNIFICANT are toxic pass
 logistic function of its best segment's -ln E.
 
 The labelled rows used for learning are at most SAMPLE (those with the smallest hash of the key): three quarters of them
-make the weights, the rest the calibration. Equal texts count once there. Scores are made for all documents.
+make the weights, the rest the calibration. Equal texts count once there. Scores are made for all documents. Tasks sum their counts
+in arrays of 2**BUCKET_BITS numbers; the JVM neither sorts texts nor groups cells, and learning reads few rows at a time.
 
 Defined cases: null, empty and word-free texts have no segment and get the score of "no evidence"; labels without key or
 mark are ignored, a key labelled twice counts as toxic if any mark is; without labels of both kinds all scores are 0;
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .shared import FEWER, capped
 
 BUCKET_BITS = 20
 SAMPLE = 50_000
@@ -38,6 +40,10 @@ PRIOR = 0.05
 DEVIATIONS = 2.0
 DRIFT = 0.25
 SIGNIFICANT = 0.01
+#: Cells whose counts are a row of the tables between tasks.
+PART = 1 << 11
+_COUNTS = ["part", "cells", "n0", "n1"]
+_COUNTED = "part int, cells binary, n0 binary, n1 binary"
 
 
 @dataclass
@@ -113,28 +119,70 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, mark: str,
     return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(rows), "_key")
 
 
+def _changes(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows (hash of the text, text, mark), but of equal texts only the first and the first toxic one; and which of these were clean before."""
+    toxic: dict[int, bool] = {}
+    for batch in batches:
+        keep, turned = [], []
+        for i, (t, mark) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            had = toxic.get(t)
+            if had is None or mark > 0 and not had:
+                toxic[t] = mark > 0
+                keep.append(i)
+                turned.append(had is not None)
+        yield batch.take(pa.array(keep, pa.int64())), np.array(turned, bool)
+
+
+def _firsts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, _ in _changes(batches):
+        yield batch
+
+
+def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many toxic (n1) and clean (n0) texts of the task have each cell, a row for each part. Texts aren't kept: one that turns out toxic later moves its cells."""
+    n0, n1 = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+    for batch, turned in _changes(batches):
+        data, offsets = K.text_bytes(batch.column(1))
+        marks = np.asarray(batch.column(2)) > 0
+        for i, j in K.pieces(offsets):
+            words, cells = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            seen = np.unique(cells | (words.docs() << BUCKET_BITS))  # a document counts a cell once
+            docs, cells = i + (seen >> BUCKET_BITS), seen & ((1 << BUCKET_BITS) - 1)
+            for n, of, step in ((n1, marks, 1), (n0, ~marks, 1), (n0, turned, -1)):
+                np.add.at(n, cells[of[docs]], step)
+    yield from _packed(n0, n1)
+
+
+def _packed(n0: np.ndarray, n1: np.ndarray) -> Iterator[pa.RecordBatch]:
+    cells = np.flatnonzero(n0 + n1)
+    cuts = np.searchsorted(cells, np.arange(0, (1 << BUCKET_BITS) + 1, PART))
+    for part in np.flatnonzero(np.diff(cuts)).tolist():
+        own = cells[cuts[part] : cuts[part + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in (own, n0[own], n1[own]))], _COUNTS)
+
+
+def _total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the rows of _count."""
+    n0, n1 = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+    for batch in batches:
+        for cells, y0, y1 in zip(*(column.to_pylist() for column in batch.columns[1:]), strict=True):
+            cells = np.frombuffer(cells, np.int64)  # each once in a row
+            n0[cells] += np.frombuffer(y0, np.int64)
+            n1[cells] += np.frombuffer(y1, np.int64)
+    yield from _packed(n0, n1)
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", mark: str = "toxic", train: Callable = lambda key: F.lit(True), sample: int = SAMPLE) -> Model:
     """Weights and calibration from at most `sample` labelled rows for which train(key) holds."""
     spark = docs.sparkSession
     rows = _sample(docs, labels, key, text, mark, train, sample).withColumn("_fit", F.pmod(F.xxhash64("_text", F.lit(1)), F.lit(4)) > 0)
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = K.text_bytes(batch.column(0))
-            marks = np.asarray(batch.column(1)).astype(np.int64)
-            for i, j in K.pieces(offsets):
-                words, cells = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                seen = np.unique(cells | (words.docs() << BUCKET_BITS))  # a document counts a cell once
-                toxic = marks[i:j][seen >> BUCKET_BITS] > 0
-                cells, at = np.unique(seen & ((1 << BUCKET_BITS) - 1), return_inverse=True)
-                n1 = np.bincount(at, toxic, len(cells)).astype(np.int64)
-                n0 = np.bincount(at, ~toxic, len(cells)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n1), pa.array(n0)], ["cell", "n1", "n0"])
-
-    texts = rows.where("_fit").groupBy(F.xxhash64("_text").alias("_t")).agg(F.first("_text").alias("_text"), F.max("_mark").alias("_mark"))
-    counts = texts.select("_text", "_mark").mapInArrow(count, "cell long, n1 long, n0 long").groupBy("cell").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    table = counts.toArrow()  # at most 2**BUCKET_BITS rows
-    cells, y1, y0 = (np.asarray(table[c]).astype(np.int64) for c in ("cell", "n1", "n0"))
+    texts = rows.where("_fit").select(F.xxhash64("_text").alias("_t"), "_text", "_mark")
+    # Once a task before the shuffle, so that copies of a text don't all go to one; once an equal text after it.
+    counts = texts.mapInArrow(_firsts, texts.schema).repartition("_t").mapInArrow(_count, _COUNTED).repartition("part").mapInArrow(_total, _COUNTED)
+    with capped(spark, FEWER):
+        table = counts.toArrow().sort_by("part")  # at most 2**BUCKET_BITS cells
+    cells, y0, y1 = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in _COUNTS[1:])
     weights = np.zeros(1 << BUCKET_BITS, np.float32)
     if not y1.sum() or not y0.sum():
         return Model(weights, 1.0, 1.0, 0.0, -50.0)
@@ -160,7 +208,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
                 found = [(n, max((s for s, _, _ in own), default=0.0)) for n, own, _, _ in _scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shipped.value)]
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64()), batch.column(1).slice(i, j - i)], ["n", "s", "mark"])
 
-    table = rows.where(~F.col("_fit")).select("_text", "_mark").mapInArrow(best, "n long, s double, mark int").toArrow()  # at most `sample` rows
+    with capped(spark, FEWER):
+        table = rows.where(~F.col("_fit")).select("_text", "_mark").mapInArrow(best, "n long, s double, mark int").toArrow()  # at most `sample` rows
     n, s, y = np.asarray(table["n"]).astype(float), np.asarray(table["s"]).astype(float), np.asarray(table["mark"]) > 0
     clean = ~y
     scale = clean.sum() / max((np.maximum(n[clean], 1) * np.exp(-decay * s[clean])).sum(), 1e-9) if clean.any() else 1.0

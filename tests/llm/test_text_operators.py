@@ -545,6 +545,57 @@ def test_training_without_two_kinds(spark):
     assert quality.score(frame(spark, []), quality.learn(docs, none, grade="quality")).count() == 0
 
 
+def test_toxicity_counts_equal_texts_once():
+    """As toxic ones if any copy is, whatever the order of the copies and the batches."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["a b", "b c c", "d", "", None, "e a", "long " * 50]), rng.choice([0, 0, 1, -1, 2])) for _ in range(60)]
+    number = {t: i for i, t in enumerate(dict.fromkeys(t for t, _ in rows))}
+    batches = [pa.RecordBatch.from_arrays([pa.array([number[t] for t, _ in rows[i : i + 7]], pa.int64()), pa.array([t for t, _ in rows[i : i + 7]], pa.string()), pa.array([m for _, m in rows[i : i + 7]], pa.int32())], ["_t", "_text", "_mark"]) for i in range(0, 60, 7)]
+    want = {}
+    for t in number:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        toxic = max(m for x, m in rows if x == t) > 0
+        for cell in np.unique(toxicity._words(raw, np.array([0, len(raw)]))[1]).tolist():
+            n0, n1 = want.get(cell, (0, 0))
+            want[cell] = (n0 + (not toxic), n1 + toxic)
+
+    def table(found):
+        return {c: (a, b) for x in found for row in x.to_pylist() for c, a, b in zip(*(np.frombuffer(row[k], np.int64).tolist() for k in ("cells", "n0", "n1")), strict=True)}
+
+    assert table(toxicity._total(toxicity._count(batches))) == want
+    assert table(toxicity._count(toxicity._firsts(batches))) == want and sum(x.num_rows for x in toxicity._firsts(batches)) <= 2 * len(number)
+
+
+def test_toxicity_keeps_texts_out_of_the_heap(spark, tmp_path, monkeypatch):
+    """Learning sorts no texts and groups no cells in the JVM, it and scoring read few rows at a time, and the session's settings stay."""
+    rows, labels = corpus(random.Random(4), 60)
+    sf = str(tmp_path)
+    filed(spark, tmp_path, rows).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    seen = []
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.parquet.columnarReaderBatchSize": 256}
+
+    def spy(kind, name):
+        inner = getattr(kind, name)
+
+        def run(self, *args, **kw):
+            frame = getattr(self, "_df", self)
+            seen.append((frame._jdf.queryExecution().executedPlan().toString(), [int(spark.conf.get(k)) for k in limits]))
+            return inner(self, *args, **kw)
+
+        monkeypatch.setattr(kind, name, run)
+
+    empty = spark.range(0)
+    spy(type(empty), "toArrow")
+    spy(type(empty.write), "parquet")
+    before = [spark.conf.get(k) for k in limits]
+    result = queries.op8_toxicity(spark, sf)
+    assert [spark.conf.get(k) for k in limits] == before
+    assert all("MapInArrow" in plan and "SortAggregate" not in plan and "keys=[cell" not in plan for plan, _ in seen)
+    assert all(x <= limit for _, found in seen for x, limit in zip(found, limits.values(), strict=True)) and len(seen) == 3
+    assert "MapInArrow" not in result._jdf.queryExecution().executedPlan().toString() and result.count() == 60
+
+
 def test_segments_equal_a_slow_search():
     rng = random.Random(6)
 
